@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .minhash import near_duplicates
 from .packing import pack
 from .secrets import secret_spans
+from .topk import top_k
+from .warc import archived
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +28,37 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return archived(table(spark, sf_dir, "pages")).select(columns)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op8_secret_scan)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op7_warc_round_trip, op8_secret_scan, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_warc_round_trip": """
+            with p as (select page_id, html, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest, url from pages),
+            f as (select *, min(page_id) over (partition by payload_digest) as first_id from p)
+            select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
+                   case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to from f
+        """,
+        "op10_exact_top_k": """
+            with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v from embeddings
+                       where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+            s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+                  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+            r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+            select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+        """,
+    }
