@@ -11,6 +11,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .secrets import secret_spans
 from .topk import top_k
+from .toxicity import toxicity
 from .warc import archived
 
 
@@ -28,6 +29,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return archived(table(spark, sf_dir, "pages")).select(columns)
@@ -42,7 +47,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op7_warc_round_trip, op8_secret_scan, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op6_toxicity, op7_warc_round_trip, op8_secret_scan, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
