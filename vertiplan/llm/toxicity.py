@@ -20,12 +20,14 @@ from pyspark.sql import types as T
 from ._words import mix, powers, words
 
 BUCKETS = 1 << 22
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Most labelled rows of each class that the model is fitted on, those with the least hash of doc_id.
 SAMPLE = 4000
 TERMS = 3000
+#: Least log-likelihood ratio of a term and the toxic class.
+LEAST_GAIN = 5.0
 FACTORS = 4
-STEPS = 300
+STEPS = 600
 
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
@@ -81,8 +83,10 @@ def fit(owner: np.ndarray, bucket: np.ndarray, label: np.ndarray, prior: float)
 
     q = ones / rows
     gain = term(hit, seen * q) + term(seen - hit, seen * (1 - q)) + term(ones - hit, (rows - seen) * q) + term(rows - ones - seen + hit, (rows - seen) * (1 - q))
+    # only terms that speak for toxicity: what is merely usual in clean texts must not outweigh an insult
+    gain[hit * rows <= seen * ones] = 0
     order = np.lexsort((kinds, -gain))
-    chosen = np.sort(order[: TERMS][gain[order[:TERMS]] > 4])
+    chosen = np.sort(order[:TERMS][gain[order[:TERMS]] > LEAST_GAIN])
     place = np.full(len(kinds), -1)
     place[chosen] = np.arange(len(chosen))
     use = place[code] >= 0
@@ -95,14 +99,17 @@ def fit(owner: np.ndarray, bucket: np.ndarray, label: np.ndarray, prior: float)
     for step in range(1, STEPS + 1):
         m.bias, m.weight, m.factor = theta[0], theta[1 : n + 1], theta[n + 1 :].reshape(n, FACTORS)
         error = balance * (1 / (1 + np.exp(-np.clip(m.raw(owner, at, rows), -30, 30))) - label)
-        grad_w = np.bincount(at, error[owner], n) + 2e-5 * m.weight
+        grad_w = np.bincount(at, error[owner], n) + 2e-6 * m.weight
         grad_v = np.empty_like(m.factor)
         for f in range(FACTORS):
             v = m.factor[at, f]
-            grad_v[:, f] = np.bincount(at, error[owner] * (np.bincount(owner, v, rows)[owner] - v), n) + 2e-4 * m.factor[:, f]
+            grad_v[:, f] = np.bincount(at, error[owner] * (np.bincount(owner, v, rows)[owner] - v), n) + 2e-5 * m.factor[:, f]
+        if step <= STEPS // 2:
+            grad_v[:] = 0  # single terms first: pairs then learn only what those leave over
         grad = np.concatenate([[error.sum()], grad_w, grad_v.ravel()])
         one, two = 0.9 * one + 0.1 * grad, 0.999 * two + 0.001 * grad * grad
-        theta = theta - 0.03 * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.999**step)) + 1e-8)
+        theta = theta - 0.05 * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.999**step)) + 1e-8)
+        np.maximum(theta[1 : n + 1], 0, out=theta[1 : n + 1])  # the inputs were chosen as evidence for the class
     p = min(max(prior, 1e-3), 1 - 1e-3)
     return Machine(m.terms, float(theta[0] + np.log(p / (1 - p))), theta[1 : n + 1].copy(), theta[n + 1 :].reshape(n, FACTORS).copy())
 
