@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .extract import main_text
 from .minhash import near_duplicates
 from .packing import pack
 from .secrets import secret_spans
 from .topk import top_k
 from .toxicity import toxicity
+from .urlfilter import url_verdicts
 from .warc import archived
 
 
@@ -23,12 +25,20 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +57,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op6_toxicity, op7_warc_round_trip, op8_secret_scan, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_url_filter, op4_best_fit_packing, op5_html_extraction, op6_toxicity, op7_warc_round_trip, op8_secret_scan, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
