@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .extract import main_text
 from .minhash import near_duplicates
 from .packing import pack
@@ -25,6 +26,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -57,7 +62,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_url_filter, op4_best_fit_packing, op5_html_extraction, op6_toxicity, op7_warc_round_trip, op8_secret_scan, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op3_url_filter, op4_best_fit_packing, op5_html_extraction, op6_toxicity, op7_warc_round_trip, op8_secret_scan, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
