@@ -8,7 +8,10 @@ every length's pieces then take the slots planned for it by their rank within th
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ SIZE = 4096
 #: Parts into which the pieces of each length are dealt for their ranks.
 PARTS = 64
 #: Entries of a worker's cache from white-space-separated chunks of text to their tokens.
-CACHE = 400_000
+CACHE = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -79,29 +82,18 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, in
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = 1) -> DataFrame:
     """docs (doc_id, text) -> pieces of at most ``size`` tokens, with the CRC-32 of their ids.
 
-    ``tokenizer`` is the path of a vocabulary file for the tokenizers library on every machine. No
-    token of it spans white space, so texts are split there and every distinct chunk is encoded
-    once per worker as long as its bounded cache holds it. ``end`` closes each document.
+    ``tokenizer`` is the path of a vocabulary file for the tokenizers library on every machine.
+    ``end`` closes each document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        encode = Tokenizer.from_file(tokenizer).encode_batch_fast
-        cache = _cache(tokenizer)
+        if (encoder := _encoders.get(tokenizer)) is None:
+            encoder = _encoders[tokenizer] = _Encoder(tokenizer)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             doc_id, piece, start, length, crc = [], [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                parts = (text or "").replace("\n", " ").split(" ")
-                new = [p for p in set(parts) if p not in cache]
-                if new:
-                    if len(cache) + len(new) > CACHE:
-                        cache.clear()
-                        new = list(set(parts))
-                    for p, e in zip(new, encode(new, add_special_tokens=False), strict=True):
-                        cache[p] = np.array(e.ids, "<u4").tobytes()
-                ids = memoryview(b"".join(map(cache.__getitem__, parts)) + last)
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = memoryview(encoder.ids(text.as_py() or "") + last)
                 for k, a in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[a : a + 4 * size]
                     doc_id.append(doc)
@@ -114,11 +106,89 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = 1
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-_caches: dict[str, dict[str, bytes]] = {}
+def _byte_letters() -> list[str]:
+    """The visible character that stands for each byte in byte-level vocabularies: itself where it is
+    printable in Latin-1, else the next one from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
+_LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The vocabulary's own splitting rule, written out for Latin-1 text.
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \\t\\n\x0b\x0c\\r\x85\xa0{_LETTERS}{_NUMBERS}]+")
+
 
+class _Encoder:
+    """Token ids of texts as little-endian bytes, equal to those of the vocabulary file.
+
+    No token spans a space, and normalisation does not reach across one, so texts are split there and
+    each distinct chunk is encoded once as long as the cache holds it. Latin-1 text is stable under
+    NFC and lower-cases by character, so its chunks are split into words here and only the words go
+    through the vocabulary's merges; any other text, and any that could hold a special token, goes
+    through the whole tokenizer chunk by chunk.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-def _cache(tokenizer: str) -> dict[str, bytes]:
-    return _caches.setdefault(tokenizer, {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.plain = self._is_known(json.loads(self.tokenizer.to_str()))
+        self.model = self.tokenizer.model
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        letters = _byte_letters()
+        self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+
+    @staticmethod
+    def _is_known(spec: dict) -> bool:
+        """Whether the file's normaliser and splitting are those that the short way writes out."""
+        normal = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        return normal == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)] and split.get("pattern", {}).get("Regex") == pattern and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+
+    def _word(self, word: str) -> bytes:
+        if (out := self.words.get(word)) is None:
+            out = self.words[word] = array("I", [t.id for t in self.model.tokenize(word.translate(self.table))]).tobytes()
+        return out
+
+    def ids(self, text: str) -> bytes:
+        text = text.replace("\n", " ")
+        short = self.plain and "<|" not in text
+        if short:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                short = False
+        if short:
+            parts, cache = text.lower().split(" "), self.chunks
+            try:
+                return b"".join([cache[p] for p in parts])
+            except KeyError:
+                pass
+            new = {p for p in parts if p not in cache}
+            if len(cache) + len(new) > CACHE or len(self.words) + len(new) > CACHE:
+                cache.clear()
+                self.words.clear()
+                new = set(parts)
+            word = self._word
+            for p in new:
+                cache[p] = b"".join([word(w) for w in _SPLIT.findall(p)])
+        else:
+            parts, cache = text.split(" "), self.others
+            new = [p for p in set(parts) if p not in cache]
+            if len(cache) + len(new) > CACHE // 4:
+                cache.clear()
+                new = list(set(parts))
+            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                cache[p] = array("I", e.ids).tobytes()
+        return b"".join([cache[p] for p in parts])
+
+
+_encoders: dict[str, _Encoder] = {}
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = 1) -> DataFrame:
