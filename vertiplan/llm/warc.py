@@ -143,13 +143,15 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) ->
     sizes = keep(rows.select("page_id", "payload_bytes", "digest"), "sizes")
     firsts = sizes.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("c")).where("c > 1 and first_id is not null").select("digest", "first_id")
     shard, count = _shards(sizes, shard_bytes)
-    rows = rows.join(firsts, "digest", "left")
+    # who revisits whom travels as rows of its own, sorted before the page's: only one shuffle moves payloads
+    notes = sizes.join(firsts, "digest").where("page_id is not null").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first_id").distinct()
+    rows = notes.union(rows.select("page_id", "url", "html", "digest", F.lit(None).cast("long")))
     rows = rows.withColumn("cell", shard[0]).withColumn("shard", shard[1]).drop("cell") if isinstance(shard, tuple) else rows.withColumn("shard", shard)
     rows = rows.withColumn("shard", F.col("shard").cast("int"))
-    dealt = rows.repartitionById(count, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    dealt = rows.repartitionById(count, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("html").isNotNull(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, last = None, None
+        roller, last, noted = None, None, (None, None)
         names = ["file", "shard", "part", "records", "bytes", "sha256"]
         types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 
@@ -161,11 +163,15 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) ->
             columns = [batch.column(c) for c in ("shard", "page_id", "url", "html", "digest", "first_id")]
             for i in range(batch.num_rows):
                 shard, page_id, url, text, digest, first = (c[i].as_py() for c in columns)
+                if text is None:
+                    noted = ((page_id, digest), first)
+                    continue
                 if roller is None or roller.shard != shard:
                     if roller:
                         yield from told(roller.close())
                     roller = _Roller(folder, shard, TaskContext.get().taskAttemptId())
-                revisits = first is not None and page_id is not None and (page_id != first or last == (page_id, digest))
+                first = noted[1] if noted[0] == (page_id, digest) else None
+                revisits = first is not None and (page_id != first or last == (page_id, digest))
                 last = (page_id, digest)
                 yield from told(roller.write(page_record(page_id, url, text.encode("utf-8"), digest, first if revisits else None)))
         if roller:
