@@ -12,6 +12,7 @@ from .extract import main_text
 from .minhash import near_duplicates
 from .packing import pack
 from .secrets import secret_spans
+from .substrings import repeated_passages
 from .topk import top_k
 from .toxicity import toxicity
 from .urlfilter import url_verdicts
@@ -57,12 +58,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op3_url_filter, op4_best_fit_packing, op5_html_extraction, op6_toxicity, op7_warc_round_trip, op8_secret_scan, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op3_url_filter, op4_best_fit_packing, op5_html_extraction, op6_toxicity, op7_warc_round_trip, op8_secret_scan, op9_substring_dedup, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
