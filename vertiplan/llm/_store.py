@@ -37,6 +37,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows in an Arrow batch from now on in this session: texts are long, and a worker
+    holds a batch several times over."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of kept tables that nothing reads any more."""
     for df in tables:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
 from ._words import words
 from .toxicity import _WORD
 
@@ -113,6 +114,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER
     columns are not read. A benchmark of up to ``broadcast_bytes`` goes to every task; a larger one is joined on
     seeds, and each candidate pair then tiled on its own.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import keep
+from ._store import keep, small_batches
 from .urlfilter import host_of
 
 # Names of HTML elements and words that mark page furniture.
@@ -300,6 +300,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     wrapper. Whole pages are read; repeated pages count as often as they occur. Other columns are not
     read.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of("url").alias("host"))
     wrappers = keep(infer_wrappers(rows), "wrappers")
     return rows.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop, keep
+from ._store import drop, keep, small_batches
 from ._words import mix, words
 from .components import connected_components
 
@@ -200,6 +200,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component. Columns other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     bands = bands_for(percent)
     signed = keep(signatures(docs, k, bands), "signatures")
     classes = keep(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands")), "classes")

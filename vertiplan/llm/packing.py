@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import keep
+from ._store import keep, small_batches
 
 SIZE = 4096
 #: Parts into which the pieces of each length are dealt for their ranks.
@@ -199,6 +199,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = 1) -> Dat
     ranks follow (doc_id, piece, crc), nulls first, within a part chosen by hash, so repeated rows
     and a third of all rows in one length are dealt over ``PARTS`` tasks. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     pieces = keep(token_pieces(docs, tokenizer, size, end), "pieces")
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import small_batches
 from ._words import mix, powers, words
 
 BUCKETS = 1 << 22
@@ -148,6 +149,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs with a column ``score`` (0 to 1) after its own; only ``text`` is looked at."""
     if "score" in docs.columns:
         docs = docs.drop("score")
+    small_batches(docs.sparkSession)
     schema = docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 

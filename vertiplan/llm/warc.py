@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import keep, new_path
+from ._store import keep, new_path, small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 LEAST_REVISIT = 100
@@ -137,6 +137,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) ->
     are revisits of it, its own repetitions included. Rows with a null page_id are responses. A null
     url leaves out the target header. Other columns are not read.
     """
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.select("*", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2("html", 256).alias("digest"))
