@@ -13,7 +13,8 @@ _MERCATOR = 6378137.0
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     s, t = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
     a = s * s + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * t * t
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # not least(): it would make a distance of a missing coordinate
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def segment_length_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
