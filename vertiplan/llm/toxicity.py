@@ -145,10 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit(owner, np.concatenate([*bags, np.zeros(0, np.int64)]), label, counts.get(1, 0) / max(1, sum(counts.values())))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with a column ``score`` (0 to 1) after its own; only ``text`` is looked at."""
-    if "score" in docs.columns:
-        docs = docs.drop("score")
+def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """docs with a column ``name`` (0 to 1), which it must not have yet, after its own; only ``text`` is looked at."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs have a column {name} already")
     small_batches(docs.sparkSession)
     schema = docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(machine)
@@ -164,9 +164,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 both = np.unique(owner[at >= 0] << 16 | at[at >= 0])
                 out[row:to] = m.raw(both >> 16, both & 0xFFFF, to - row)
             p = 1 / (1 + np.exp(-np.clip(out, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
