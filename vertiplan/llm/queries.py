@@ -72,6 +72,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash_near_dedup": r"""
+            with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+            s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingle from w),
+            n as (select doc_id, count(*) as n from s group by doc_id),
+            c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+            l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+            e as (select a, b from l union all select b, a from l),
+            r as (select doc_id as node, doc_id as other from documents union select r.node, e.b from r join e on e.a = r.other),
+            m as (select node, min(other) as component_id from r group by node)
+            select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept from documents d left join n using (doc_id) join m on m.node = d.doc_id
+        """,
         "op7_warc_round_trip": """
             with p as (select page_id, html, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest, url from pages),
             f as (select *, min(page_id) over (partition by payload_digest) as first_id from p)
