@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from ._store import drop, keep
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges (u, v) with u > v: every node's neighbours hook on the least of them."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One star step on edges (u, v) with u > v: every node's neighbours hook on the least of them.
+    Also returns the table it wrote."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written, so that the join has a shuffle of its own, which adaptive execution splits at a hot node
+    least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     linked = both.join(least, "u")
     if large:
         pairs = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         pairs = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return pairs.where("u > v").distinct()
+    return pairs.where("u > v").distinct(), least
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -35,7 +37,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if state == seen:
             break
         seen = state
-        after = keep(_star(_star(now, True), False), name)
-        drop(now)
+        large, first = _star(now, True)
+        large = keep(large, name)
+        small, second = _star(large, False)
+        after = keep(small, name)
+        drop(now, large, first, second)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
