@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vertiplan.plans import network, scalar
+from vertiplan.plans import network, regional, scalar
 
-_ALL = scalar.QUERIES | network.QUERIES
+_ALL = scalar.QUERIES | network.QUERIES | regional.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
