@@ -226,6 +226,18 @@ def test_extraction():
     assert "a b" in _text(plain[0], plain)
 
 
+def test_long_and_odd_pages():
+    import time
+
+    began = time.time()
+    many = "".join(f"<div class=c{chr(97 + i % 7)}{chr(97 + i % 11)}><p>t{i}</p></div>" for i in range(4000))
+    assert len(_text(f"<main>{many}</main>", ["<main><p>other</p></main>"]).split("\n")) == 4000
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    assert _text(deep) == "x" and _text("<p>a < b <i>c" + "<" * 2000) .startswith("a < b c")
+    assert _text("<p>" + 'x="' * 5000) != "" and _text("<!-- open") == ""
+    assert time.time() - began < 30
+
+
 def test_wrapper_folds_repeats():
     a, b = extract.Page("<ul><li>1<li>2<li>3</ul><p>x"), extract.Page("<ul><li>1</ul><div>y</div><p>x")
     w, _ = extract.align([], a.stream.split(" "))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,10 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _own.setdefault("root", tempfile.mkdtemp(prefix="vertiplan-"))
-        if root not in _own.get("registered", ""):
-            _own["registered"] = root
-            atexit.register(__import__("shutil").rmtree, root, True)
+        if "root" not in _own:
+            _own["root"] = tempfile.mkdtemp(prefix="vertiplan-")
+            atexit.register(shutil.rmtree, _own["root"], True)
+        root = _own["root"]
         root = f"file://{root}"
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 

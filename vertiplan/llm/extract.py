@@ -34,6 +34,10 @@ CONTENT = ("article", "main")
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select", "datalist"))}
 
+#: Products of lengths up to which streams are compared token by token, and the longest wrapper: a stream that
+#: would make it longer shares too little with its host, and is judged by its own tokens alone.
+MOST_COMPARED, LONGEST_WRAPPER = 1_000_000, 4000
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""",
     re.S | re.I,
@@ -162,6 +166,21 @@ class Page:
         self.stream, self.slots = root.shown, root.slots
 
 
+def _differences(old: list[str], new: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """Edits from old to new. Common ends are matched first; what lies between is searched for common
+    runs unless both sides are so long that this would take minutes, then it counts as exchanged."""
+    n = min(len(old), len(new))
+    head = next((i for i in range(n) if old[i] != new[i]), n)
+    tail = next((i for i in range(n - head) if old[-1 - i] != new[-1 - i]), n - head)
+    a, b = old[head : len(old) - tail], new[head : len(new) - tail]
+    if len(a) * len(b) > MOST_COMPARED:
+        middle = [("replace", 0, len(a), 0, len(b))]
+    else:
+        middle = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    out = [("equal", 0, head, 0, head)] + [(op, head + i, head + j, head + k, head + m) for op, i, j, k, m in middle]
+    return out + [("equal", len(old) - tail, len(old), len(new) - tail, len(new))]
+
+
 def align(wrapper: list[list], stream: list[str]) -> tuple[list[list], list[int]]:
     """The wrapper widened so that it also matches the stream, and the wrapper's index of each token.
 
@@ -171,7 +190,7 @@ def align(wrapper: list[list], stream: list[str]) -> tuple[list[list], list[int]
     old, new = [w[0] for w in wrapper], [t.rstrip("+") for t in stream]
     out: list[list] = []
     index = [0] * len(new)
-    for op, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+    for op, a, b, c, d in _differences(old, new):
         if op == "equal":
             for i, j in zip(range(a, b), range(c, d), strict=True):
                 index[j] = len(out)
@@ -253,7 +272,10 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from out()
                 host, wrapper = h, []
             tokens = stream.split(" ")
-            wrapper, index = align(wrapper, tokens)
+            wider, index = align(wrapper, tokens)
+            if len(wider) > LONGEST_WRAPPER:
+                continue
+            wrapper = wider
             stats = iter(json.loads(slots))
             for j, t in enumerate(tokens):
                 if t.rstrip("+") == "#":
