@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,14 +18,16 @@ def shared_folder(spark: SparkSession) -> str:
     process, which only a local master may use."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if "root" not in _own:
             _own["root"] = tempfile.mkdtemp(prefix="vertiplan-")
             atexit.register(shutil.rmtree, _own["root"], True)
-        root = _own["root"]
-        root = f"file://{root}"
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+        root = f"file://{_own['root']}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{spark.sparkContext.applicationId}")
+    # with its scheme, since not only Spark reads what lies there; a local one in the form with an empty host
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", uri)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
