@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -41,6 +42,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled_anew(df: DataFrame, key: str) -> DataFrame:
+    """``df``, grouped by its long column ``key``, without Spark knowing that it is dealt by it: a join on the
+    key then shuffles both sides for itself, and adaptive execution can split it at a hot key."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """At most ``rows`` rows in an Arrow batch from now on in this session: texts are long, and a worker
     holds a batch several times over."""

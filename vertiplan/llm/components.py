@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop, keep
+from ._store import drop, keep, shuffled_anew
 
 
-def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
-    """One star step on edges (u, v) with u > v: every node's neighbours hook on the least of them.
-    Also returns the table it wrote."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One star step on edges (u, v) with u > v: every node's neighbours hook on the least of them."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    # written, so that the join has a shuffle of its own, which adaptive execution splits at a hot node
-    least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    least = shuffled_anew(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
     linked = both.join(least, "u")
     if large:
         pairs = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         pairs = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return pairs.where("u > v").distinct(), least
+    return pairs.where("u > v").distinct()
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges (a, b) of any orderable type -> (node, component): the least node reachable, for every
+    """edges (a, b) of longs -> (node, component): the least node reachable, for every
     node with at least one edge to another node; self-loops and null ends are ignored.
 
     Each step is a grouped minimum and a join on a node, both splittable when one node is hot; the
@@ -37,10 +35,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if state == seen:
             break
         seen = state
-        large, first = _star(now, True)
-        large = keep(large, name)
-        small, second = _star(large, False)
-        after = keep(small, name)
-        drop(now, large, first, second)
+        after = keep(_star(_star(now, True), False), name)
+        drop(now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop, keep, small_batches
+from ._store import drop, keep, shuffled_anew, small_batches
 from ._words import mix, words
 from .components import connected_components
 
@@ -169,8 +169,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 def verified_links(clusters: DataFrame, percent: int) -> DataFrame:
     """clusters (cluster, node, shingles) -> (a, b): links that connect what is linked in a cluster."""
-    # written, as below, so that the join's own shuffle can be split at a hot cluster
-    sizes = keep(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    sizes = shuffled_anew(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     units = (
         clusters.join(sizes, "cluster")
@@ -206,7 +205,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = keep(signatures(docs, k, bands), "signatures")
     classes = keep(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands")), "classes")
     rows = classes.select("digest", F.explode("bands").alias("band"))
-    heads = keep(rows.groupBy("band").agg(F.min("digest").alias("head"), F.count("*").alias("c")).where("c > 1").select("band", "head"), "heads")
+    heads = shuffled_anew(rows.groupBy("band").agg(F.min("digest").alias("head"), F.count("*").alias("c")).where("c > 1").select("band", "head"), "band")
     stars = rows.join(heads, "band").where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
     clusters = keep(connected_components(stars, "clusters"), "clusters")
     texts = clusters.join(classes.select(F.col("digest").alias("node"), "doc_id"), "node").join(docs, "doc_id")
@@ -214,7 +213,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = connected_components(verified_links(sets, percent), "links")
     drop(sets)
     labelled = classes.select("digest", "doc_id").join(links.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    least = keep(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    least = shuffled_anew(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
     named = labelled.join(least, "component").select("digest", "component_id")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
