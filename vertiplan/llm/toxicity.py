@@ -23,7 +23,7 @@ from ._words import mix, powers, words
 BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6, 7, 8)
 #: Most labelled rows of each class that the model is fitted on, those with the least hash of doc_id.
-SAMPLE = 3000
+SAMPLE = 2000
 TERMS = 3000
 #: Least log-likelihood ratio of a term and the toxic class.
 LEAST_GAIN = 5.0
