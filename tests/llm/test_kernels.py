@@ -184,6 +184,23 @@ def test_chains_like_quadratic_search():
         assert value(found[0]) >= max(seg[:, 2])
 
 
+def test_chain_after_a_long_match():
+    seg = np.array([[0, 0, 300]] + [[400 + 20 * i, 400 + 20 * i + i % 2, 12] for i in range(6)])
+    assert sorted(map(len, substrings.chains(seg))) == [1, 6]
+    rng = random.Random(10)
+    for _ in range(200):
+        n = rng.randint(2, 14)
+        seg = np.array([[rng.randint(0, 300), rng.randint(0, 300), rng.choice([8, 8, 12, 30, 120])] for _ in range(n)])
+        order, score = sorted(range(n), key=lambda i: (seg[i, 0], i)), {}
+        for i in order:
+            a, b, m = seg[i].tolist()
+            allowed = [score[j] - 0.25 * (a + b - seg[j, 0] - seg[j, 1] - 2 * seg[j, 2]) for j in order if seg[j, 0] < a and seg[j, 1] < b and a - substrings.GAP <= seg[j, 0] + seg[j, 2] <= a + substrings.K and b - substrings.GAP <= seg[j, 1] + seg[j, 2] <= b + substrings.K]
+            score[i] = m + max([0, *allowed])
+        best = substrings.chains(seg)[0]
+        value = sum(seg[i, 2] for i in best) - 0.25 * sum(seg[j, 0] + seg[j, 1] - seg[i, 0] - seg[i, 1] - 2 * seg[i, 2] for i, j in zip(best, best[1:]))
+        assert math.isclose(value, max(score.values()))
+
+
 def test_segmentation_is_the_best_split():
     words_, total = {"cheap": 50, "pills": 50, "che": 5, "app": 20, "ills": 1}, 500
     label = "cheappills"
