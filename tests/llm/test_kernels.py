@@ -201,6 +201,57 @@ def test_chain_after_a_long_match():
         assert math.isclose(value, max(score.values()))
 
 
+def _passages(texts):
+    """(doc_id, source_id, start, end, source start, source end) as the query finds them."""
+    docs = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in texts], "text": [" ".join(w) for _, w in texts]})
+    linked = substrings._dealt(substrings._links, substrings.LINK)
+    dealt = linked(substrings._dealt(substrings._seeds, substrings.SEED)([docs]))
+    by_bucket = [b.sort_by("bucket") for b in pa.Table.from_batches(dealt).to_batches()]
+    hashes = {i: next(words(pa.array([" ".join(w)]), word_bytes=toxicity._WORD))[2].hash for i, w in texts}
+    out = set()
+    for batch in substrings._chained(by_bucket):
+        for doc, src, seg in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source_id", "segments")), strict=True):
+            chain = np.array(seg).reshape(-1, 3)
+            (a, b), (c, d) = substrings._span(chain, 0), substrings._span(chain, 1)
+            out |= {(doc, src, *p[:4]) for p in substrings.align(chain, hashes[doc][a:b], hashes[src][c:d])}
+    return out
+
+
+def _some_words(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize(("size", "changed", "least"), [(60, 0.05, 1), (60, 0.1, 0.97), (60, 0.15, 0.9), (80, 0.1, 0.97), (120, 0.15, 0.97), (80, 0.2, 0.75)])
+def test_changed_passages_are_found(size, changed, least):
+    rng = random.Random(size)
+    found = 0
+    for _ in range(40):
+        passage = _some_words(rng, size)
+        other = list(passage)
+        for i in rng.sample(range(size), int(changed * size)):
+            other[i] = "changed%d" % i
+        texts = [(1, _some_words(rng, 70) + passage + _some_words(rng, 70)), (2, _some_words(rng, 90) + other + _some_words(rng, 30))]
+        rows = _passages(texts)
+        same = dict(texts)
+        for _, _, a, b, c, d in rows:
+            assert b - a >= 50 and sum(x == y for x, y in zip(same[2][a:b], same[1][c:d])) >= 0.8 * (b - a) - 1e-9
+        found += bool(rows)
+    assert found >= least * 40
+
+
+def test_two_passages_in_one_chain():
+    rng = random.Random(4)
+    one, two = _some_words(rng, 52), _some_words(rng, 52)
+    texts = [(i, [*one, *_some_words(rng, 55), *two]) for i in (1, 2)]
+    assert _passages(texts) == {(2, 1, 0, 52, 0, 52), (2, 1, 107, 159, 107, 159)}
+
+
+def test_packed_columns():
+    for x in ([0, 0, 0], [2**63 - 1, -(2**63), 5], [-1], list(range(1000))):
+        own = np.array(x, np.int64)
+        assert substrings._unpacked(substrings._packed(own), len(x)).tolist() == x
+
+
 def test_segmentation_is_the_best_split():
     words_, total = {"cheap": 50, "pills": 50, "che": 5, "app": 20, "ills": 1}, 500
     label = "cheappills"
