@@ -201,19 +201,25 @@ def test_chain_after_a_long_match():
         assert math.isclose(value, max(score.values()))
 
 
+_SEEDS = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in substrings.SEED)])
+
+
 def _passages(texts):
     """(doc_id, source_id, start, end, source start, source end) as the query finds them."""
     docs = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in texts], "text": [" ".join(w) for _, w in texts]})
-    linked = substrings._dealt(substrings._links, substrings.LINK)
-    dealt = linked(substrings._dealt(substrings._seeds, substrings.SEED)([docs]))
-    by_bucket = [b.sort_by("bucket") for b in pa.Table.from_batches(dealt).to_batches()]
+    dealt = []
+    for k in (substrings.K, substrings.LEAST_WORDS):
+        seeds = pa.Table.from_batches(substrings._dealt(substrings._seeds(k), substrings.SEED)([docs]), _SEEDS).sort_by("bucket").to_batches()
+        dealt += substrings._dealt(substrings._links(k), substrings.LINK)(seeds)
+    by_bucket = pa.Table.from_batches(dealt).sort_by("bucket").to_batches() if dealt else []
     hashes = {i: next(words(pa.array([" ".join(w)]), word_bytes=toxicity._WORD))[2].hash for i, w in texts}
     out = set()
     for batch in substrings._chained(by_bucket):
         for doc, src, seg in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source_id", "segments")), strict=True):
-            chain = np.array(seg).reshape(-1, 3)
-            (a, b), (c, d) = substrings._span(chain, 0), substrings._span(chain, 1)
-            out |= {(doc, src, *p[:4]) for p in substrings.align(chain, hashes[doc][a:b], hashes[src][c:d])}
+            found = [np.array(x).reshape(-1, 3) for x in seg]
+            sides = [b"".join(hashes[i][a:b].tobytes() for a, b in substrings._parts(found, side)) for side, i in enumerate((doc, src))]
+            for chain, x, y in zip(found, substrings._spanned(found, 0, sides[0]), substrings._spanned(found, 1, sides[1]), strict=True):
+                out |= {(doc, src, *p[:4]) for p in substrings.align(chain, x, y)}
     return out
 
 
@@ -239,6 +245,35 @@ def test_changed_passages_are_found(size, changed, least):
     assert found >= least * 40
 
 
+@pytest.mark.parametrize("m", [23, 25, 30, 40])
+def test_passage_with_parts_in_smaller_documents(m):
+    rng = random.Random(m)
+    for _ in range(20):
+        p = _some_words(rng, 60)
+        texts = [(1, _some_words(rng, 20) + p[:m]), (2, p[-m:] + _some_words(rng, 20)), (3, _some_words(rng, 30) + p + _some_words(rng, 9)), (4, p[9:49]), (5, p[:m] + p[-m:]), (6, _some_words(rng, 40) + p)]
+        assert (6, 3, 40, 100, 30, 90) in _passages(texts)
+
+
+def test_exact_passages_like_brute_force():
+    rng = random.Random(8)
+    for _ in range(8):
+        pool = [_some_words(rng, 90) for _ in range(3)]
+        texts = []
+        for i in range(25):
+            w = _some_words(rng, 5)
+            for _ in range(3):
+                a = rng.randrange(60)
+                w += rng.choice(pool)[a : a + rng.randint(10, 75)] + _some_words(rng, rng.randint(0, 40))
+            texts.append((i, w))
+        found = _passages(texts)
+        seen = set()
+        for i, w in texts:
+            own = [tuple(w[a : a + 50]) for a in range(len(w) - 49)]
+            for a, run in enumerate(own):
+                assert run not in seen or any(r[0] == i and r[2] <= a and a + 50 <= r[3] for r in found)
+            seen.update(own)
+
+
 def test_two_passages_in_one_chain():
     rng = random.Random(4)
     one, two = _some_words(rng, 52), _some_words(rng, 52)
