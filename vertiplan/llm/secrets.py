@@ -38,6 +38,8 @@ _EXTRA = {
     "slack": re.compile(r"xox[abprs]-[0-9]{8,}-[0-9A-Za-z-]{16,}"),
     "stripe": re.compile(r"[rs]k_live_[0-9A-Za-z]{24,}"),
 }
+#: Where no JWT begins, none begins in the rest of the same run: it would have to end where this one failed to.
+_JWT_RUN = re.compile(r"[0-9A-Za-z_-]+")
 _KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
     "access": ("akia",),
@@ -66,9 +68,10 @@ def _holds(kind: str, match: re.Match[str]) -> bool:
         return base62_crc32(match[1]) == match[2]
     if kind == "jwt":
         try:
-            return "alg" in json.loads(base64.urlsafe_b64decode(match[1] + "=" * (-len(match[1]) % 4)))
-        except (ValueError, TypeError, binascii.Error):
+            header = json.loads(base64.urlsafe_b64decode(match[1] + "=" * (-len(match[1]) % 4)))
+        except (ValueError, RecursionError, binascii.Error):  # not JSON, or nested beyond any header
             return False
+        return isinstance(header, dict) and "alg" in header
     return True
 
 
@@ -86,7 +89,8 @@ def _automaton():
 
 def scan(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) in code points by start, then kind as listed; per kind leftmost and
-    non-overlapping. The base kinds are exactly their patterns' matches of the required length."""
+    non-overlapping. The base kinds are exactly their patterns' matches of the required length. Every kind takes
+    time in proportion to the text."""
     spans: list[tuple[int, int, str]] = [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     hits = [(end - size + 1, kind) for end, (kind, size) in _automaton().iter(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))]
     if hits:
@@ -99,6 +103,8 @@ def scan(text: str) -> list[tuple[int, int, str]]:
                 past[kind] = m.end()
                 if (len(m[2]) >= 8 if kind == "assign" else m.end() - at >= 16 if kind == "access" else _holds(kind, m)):
                     spans.append((at, m.end(), kind))
+            elif kind == "jwt":
+                past[kind] = _JWT_RUN.match(text, at).end()
     spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return spans
 
@@ -142,7 +148,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every secret in ``text`` replaced by its kind in brackets; all columns and rows stay."""
+    """docs with every secret in ``text`` replaced by its kind in brackets; all columns and rows stay.
+    Null and empty texts stay as they are; repeated rows are each redacted."""
 
     schema = docs.schema
 
