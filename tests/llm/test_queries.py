@@ -145,6 +145,23 @@ def test_extraction_rows(spark):
     assert [rows[i].text for i in range(7)] == ["a 0", "a 1", "a 2", "a 3", "", "", ""] and rows[0].n_chars == 3
 
 
+def test_extraction_of_copies_and_hot_hosts(spark, monkeypatch):
+    monkeypatch.setattr(extract, "PARTS", 3)
+    plain = "<div class=top>Welcome to the site</div><div class=body><p>%s</p></div>" + "<div class=x>%s</div>"
+    rows = [(i, "http://a.org/", plain % (f"story number {i} of many", "")) for i in range(30)]
+    rows += [(40, "http://copies.org/1", plain % ("the only story", ""))] * 4  # repeated rows are one page
+    rows += [(50 + i, "http://a.org/x", plain % (f"another {i} story <b>is told here</b>", f"<section><p>and {i} goes on</p></section>" * (i % 3))) for i in range(12)]
+    rows += [(70, "http://a.org/y", plain.replace("top", 'story social-history') % ("z", ""))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = collections.defaultdict(set)
+    for r in extract.main_text(pages).collect():
+        got[r.page_id].add(r.text)
+    assert all(len(x) == 1 for x in got.values()) and len(got) == 44
+    assert all(got[i] == {f"story number {i} of many"} for i in range(30))
+    assert "the only story" in min(got[40])
+    assert got[51] == {"another 1 story is told here\nand 1 goes on"} and got[52] == {"another 2 story is told here\nand 2 goes on\nand 2 goes on"}
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     docs, labels = [], []

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,11 +38,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read again: cuts the lineage, so a lost executor costs a reread."""
+def keep(df: DataFrame, name: str, **seen: Column) -> DataFrame | tuple[DataFrame, dict]:
+    """``df`` written once as Parquet and read again: cuts the lineage, so a lost executor costs a reread.
+    With aggregates ``seen``, they are taken while it is written and returned beside it."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    watch = Observation() if seen else None
+    (df.observe(watch, *(c.alias(k) for k, c in seen.items())) if seen else df).write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return (out, watch.get) if seen else out
 
 
 def shuffled_anew(df: DataFrame, key: str) -> DataFrame:
@@ -55,9 +64,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of kept tables that nothing reads any more."""
     for df in tables:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.kept_path)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the tables that were kept within, as far as they are still on its list: nothing may read them later."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)

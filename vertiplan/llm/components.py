@@ -9,7 +9,7 @@ from ._store import drop, keep, shuffled_anew
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges (u, v) with u > v: every node's neighbours hook on the least of them."""
+    """One star step on edges (u, v) with u > v: every node's neighbours hook on the least of them. Edges may repeat."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = shuffled_anew(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
     linked = both.join(least, "u")
@@ -17,7 +17,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         pairs = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         pairs = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return pairs.where("u > v").distinct()
+    return pairs.where("u > v")
+
+
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one at most, and those it leads to have none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up + root > 1").isEmpty()
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -26,16 +33,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     Each step is a grouped minimum and a join on a node, both splittable when one node is hot; the
     number of steps grows with the logarithm of the graph's size. The edges of every step are a
-    written table, and only its row count and a checksum come to the driver.
+    written table, and only whether they are settled comes to the driver.
     """
     now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen:
-            break
-        seen = state
-        after = keep(_star(_star(now, True), False), name)
+    while not _is_settled(now):
+        after = keep(_star(_star(now, True), False).distinct(), name)
         drop(now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

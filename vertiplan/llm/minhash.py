@@ -5,10 +5,12 @@ every shingle in a ring of ``RING`` slots, the other ranks the slots, and coordi
 rank after shifting the ring by i. So one shingle contributes one contiguous slice of the rank
 table, and a signature costs one vectorised minimum over slices.
 
-Steps: equal sets become one class; classes that share a band are candidates and form clusters
-(connected through the least class of each bucket, never all pairs); inside a cluster every pair is
-compared on its full sets, block against block, as a product of incidence matrices. Only links that
-join two parts leave a block, so no stage emits pairs of a group.
+Steps: equal sets (equal 128-bit digests) become one class. In every bucket of a band each class is
+compared with the bucket's first one on full sets. What is confirmed is joined into parts; only where
+a bucket then still holds classes apart from its first one's part are these compared with all others
+of the bucket that belong to other parts, block against block. So a large group of near copies costs one
+comparison each, no stage emits pairs of a group, and every pair that shares a bucket is either in one
+part or compared.
 """
 
 from __future__ import annotations
@@ -19,18 +21,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import drop, keep, shuffled_anew, small_batches
+from ._store import keep, shuffled_anew, small_batches
 from ._words import mix, words
 from .components import connected_components
 
 RING = 1 << 20
 ROWS = 5
-#: Most classes in one block of a cluster; a larger cluster is split into blocks by hash.
-BLOCK = 1024
+#: Classes in one block of a bucket; a larger bucket is split into blocks by hash.
+BLOCK = 256
 _MISS = 1e-6
+_SIDES = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)
 
 
 def bands_for(percent: int, rows: int = ROWS) -> int:
@@ -66,15 +69,16 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
-def _digest(x: np.ndarray) -> int:
-    """64-bit hash of a set given as sorted distinct hashes."""
+def _digest(x: np.ndarray) -> tuple[int, int]:
+    """128-bit hash of a set given as sorted distinct hashes."""
+    size = np.uint64(len(x))
     both = np.array([np.bitwise_xor.reduce(mix(x)), mix(~x).sum()], np.uint64)
-    return int(mix(mix(both[:1] + np.uint64(len(x))) + both[1:]).view(np.int64)[0])
+    return tuple(mix(mix(both + size) + mix(both[::-1] ^ _SIDES)).view(np.int64).tolist())
 
 
 def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n, digest, bands): set size, hash of the set and of each band;
-    the last two are null where the set is empty."""
+    """docs (doc_id, text) -> (doc_id, row_hash, n, d1, d2, bands): hash of the text, set size, both halves of the set's
+    digest and the hash of each band; the last three are null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
@@ -83,7 +87,7 @@ def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
             for x in _sets(batch.column("text"), k):
                 n.append(len(x))
                 if not len(x):
-                    digest.append(None)
+                    digest.append((None, None))
                     keys.append(None)
                     continue
                 digest.append(_digest(x))
@@ -91,26 +95,42 @@ def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
                 for column in signature(x, bands * ROWS).reshape(bands, ROWS).T:
                     acc = mix(acc + column.astype(np.uint64))
                 keys.append(acc.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "bands"])
+            halves = [pa.array([d[i] for d in digest], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(n, pa.int64()), *halves, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row_hash", "n", "d1", "d2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, digest long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("text").alias("row_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row_hash long, n long, d1 long, d2 long, bands array<long>")
+
+
+def row_hash(text: str) -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def _as_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(cluster, node, text) -> (cluster, node, shingles), where the text's set is the node's: other texts
-    may stand under the same doc_id."""
+    """(node, text) -> (node, shingles), once per node of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            made = [(x.tobytes() if len(x) and _digest(x) == node else None) for node, x in zip(batch.column("node").to_pylist(), _sets(batch.column("text"), k), strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("node"), pa.array(made, pa.binary())], ["cluster", "node", "shingles"])
-            yield out.filter(out.column("shingles").is_valid())
+            new = [n not in seen and not seen.add(n) for n in batch.column("node").to_pylist()]
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in _sets(batch.column("text"), k)], pa.binary())], ["node", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
-    return docs.select("cluster", "node", "text").mapInArrow(run, "cluster long, node long, shingles binary")
+
+def _like(head: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets are linked with ``head``."""
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(head, flat), len(head) - 1)
+    common = np.bincount(np.repeat(np.arange(len(sets)), size)[head[at] == flat], minlength=len(sets))
+    return 100 * common >= percent * (size + len(head) - common)
 
 
-def _joined(ids: list[int], sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Links that join two parts among the sets; if both sides occur, only pairs across count."""
+def _joined(parts: list[int], sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join two parts, as pairs of parts; if both sides occur, only pairs across count."""
     size = np.array([len(x) for x in sets], np.int64)
     flat = np.concatenate(sets)
     kinds, code = np.unique(flat, return_inverse=True)
@@ -122,14 +142,14 @@ def _joined(ids: list[int], sets: list[np.ndarray], side: np.ndarray, percent: i
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(sets)),) * 2
     if not len(left) or not len(right):
         return
-    common = np.zeros((len(left), len(right)), np.float32)
+    common = np.zeros((len(left), len(right)), np.int64)
     for a in range(0, width, 4096):
         here = (code >= a) & (code < a + 4096)
         m = np.zeros((len(sets), min(4096, width - a)), np.float32)
         m[owner[here], code[here] - a] = 1
-        common += m[left] @ m[right].T
+        common += (m[left] @ m[right].T).astype(np.int64)
     linked = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
-    parent = list(range(len(sets)))
+    parent = {p: p for p in parts}
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -139,9 +159,9 @@ def _joined(ids: list[int], sets: list[np.ndarray], side: np.ndarray, percent: i
 
     for i, row in zip(left.tolist(), linked, strict=True):
         for j in right[np.flatnonzero(row)].tolist():
-            if (a := find(i)) != (b := find(j)):
+            if (a := find(parts[i])) != (b := find(parts[j])):
                 parent[max(a, b)] = min(a, b)
-                yield ids[i], ids[j]
+                yield parts[i], parts[j]
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -167,26 +187,95 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def verified_links(clusters: DataFrame, percent: int) -> DataFrame:
-    """clusters (cluster, node, shingles) -> (a, b): links that connect what is linked in a cluster."""
-    sizes = shuffled_anew(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    units = (
-        clusters.join(sizes, "cluster")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "shingles")
-    )
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.int64()) for n in (0, 1)], ["a", "b"])
+
+
+def _by_hash(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+
+
+def _upto(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+
+def links_with_heads(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """buckets (head, node), sets (node, shingles) -> (a, b): the nodes that are linked with the head of a bucket of
+    theirs. The members of a head are split over blocks, each of which has the head's set once."""
+    stars = buckets.where("node <> head").select("head", "node").distinct()
+    sizes = shuffled_anew(stars.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "head")
+    members = stars.join(sizes, "head").select("head", _by_hash("blocks").alias("block"), "node")
+    heads = sizes.select("head", _upto("blocks").alias("block"), F.col("head").alias("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["cluster", "i", "j"]):
-            ids = t.column("node").to_pylist()
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
-            found = list(_joined(ids, sets, t.column("side").to_numpy(), percent))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+        for t in grouped(batches, ["head", "block"]):
+            head, nodes = t.column("head")[0].as_py(), t.column("node").to_pylist()
+            own = dict(zip(nodes, (np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()), strict=True))
+            first = own.pop(head)
+            if own:
+                yield _pairs([(n, head) for n, ok in zip(own, _like(first, list(own.values()), percent), strict=True) if ok])
+
+    units = members.union(heads).join(sets, "node").select("head", "block", "node", "shingles")
+    return units.repartition("head", "block").sortWithinPartitions("head", "block").mapInArrow(run, "a long, b long")
+
+
+def _apart(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """buckets (band, head, node), parts (node, component) -> (band, node, part, away, aways, others), without the buckets
+    that have nothing more to compare: away tells that a node is not in its head's part, aways and others are
+    the numbers of blocks of such nodes and of the rest. Of buckets with equal members one is left."""
+    heads = buckets.select("head").distinct().join(parts.select(F.col("node").alias("head"), F.col("component").alias("of_head")), "head", "left")
+    rows = buckets.join(parts, "node", "left").join(shuffled_anew(heads, "head"), "head").select("band", "head", "node", F.coalesce("component", "node").alias("part"), F.coalesce("of_head", "head").alias("of_head"))
+    rows = rows.withColumn("away", (F.col("part") != F.col("of_head")).cast("int"))
+    whole = rows.groupBy("band").agg(F.min("head").alias("head"), F.count("*").alias("c"), F.sum("away").alias("r"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND(F.lit((1 << 31) - 1))).alias("s"))
+    # the nodes away have been compared with the head already
+    whole = whole.where("r >= 2 or r = 1 and c >= 3").groupBy("head", "c", "r", "x", "s").agg(F.min("band").alias("band"))
+    whole = whole.select("band", F.ceil(F.col("r") / BLOCK).cast("int").alias("aways"), F.ceil((F.col("c") - F.col("r")) / BLOCK).cast("int").alias("others"))
+    return rows.join(shuffled_anew(whole, "band"), "band").select("band", "node", "part", "away", "aways", "others")
+
+
+def links_between_parts(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """apart as from _apart, sets (node, shingles) -> (a, b): parts that are linked, as far as that joins parts. Nodes
+    that are away are compared with each other and with the others of their bucket, block against block."""
+    away, rest = apart.where("away = 1").withColumn("own", _by_hash("aways")), apart.where("away = 0").withColumn("own", _by_hash("others"))
+    key = ["band", "kind", "i", "j"]
+    same = away.withColumn("k", _upto("aways")).select("band", F.lit(0).alias("kind"), F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("own") > F.col("k")).cast("int").alias("side"), "node", "part")
+    mixed = away.withColumn("k", _upto("others")).select("band", F.lit(1), F.col("own"), F.col("k"), F.lit(0), "node", "part")
+    mixed = mixed.union(rest.withColumn("k", _upto("aways")).select("band", F.lit(1), F.col("k"), F.col("own"), F.lit(1), "node", "part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, key):
+            if t.num_rows > 1:
+                sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+                yield _pairs(list(_joined(t.column("part").to_pylist(), sets, t.column("side").to_numpy(), percent)))
+
+    units = same.union(mixed).join(sets, "node").select(*key, "side", "node", "part", "shingles")
+    return units.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
-    return units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
+
+def judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, row_hash, n, component, component_id), one row per row of docs: component tells
+    groups apart also where one doc_id stands for several texts, null where a row takes part in none."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+    signed = keep(signatures(docs, k, bands_for(percent)).withColumn("node", F.monotonically_increasing_id()), "signatures")
+    first = F.row_number().over(Window.partitionBy("d1", "d2").orderBy("doc_id", "node"))
+    classes = keep(signed.where("d1 is not null and doc_id is not null").withColumn("first", first).where("first = 1").drop("first"), "classes")
+    rows = classes.select("node", F.explode("bands").alias("band"))
+    heads = shuffled_anew(rows.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("band", "head"), "band")
+    buckets = keep(rows.join(heads, "band"), "buckets")
+    texts = buckets.select("node").distinct().join(classes.select("node", "doc_id", "row_hash"), "node").join(docs.withColumn("row_hash", row_hash("text")), ["doc_id", "row_hash"])
+    sets = keep(_as_sets(texts, k), "sets")
+    parts = connected_components(links_with_heads(buckets, sets, percent), "links")
+    apart, count = keep(_apart(buckets, parts), "apart", n=F.count("*"))
+    if count["n"]:
+        more = connected_components(links_between_parts(apart, sets, percent), "links").select(F.col("node").alias("part"), F.col("component").alias("further"))
+        loose = more.join(parts.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), "part")
+        parts = parts.withColumnRenamed("component", "part").union(loose).join(more, "part", "left").select("node", F.coalesce("further", "part").alias("component"))
+    named = parts.join(classes.select("node", "doc_id"), "node")
+    named = named.join(shuffled_anew(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component"), "component").select("node", "component", "component_id")
+    of_class = classes.select("node", "d1", "d2", F.col("doc_id").alias("least")).join(named, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    out = signed.select("doc_id", "row_hash", "n", F.when(F.col("doc_id").isNotNull(), F.col("d1")).alias("d1"), "d2").join(of_class, ["d1", "d2"], "left")
+    return out.select("doc_id", "row_hash", "n", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -197,24 +286,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     are linked if 100 * intersection >= percent * union. component_id is the least doc_id reachable.
     Null and empty texts have an empty set and no links. Rows with a null doc_id take part in
     nothing: component_id is null and kept is true. Repeated rows are equal sets, hence one
-    component. Columns other than doc_id and text are not read.
+    component; rows that share a doc_id but not the text are judged each on its own. Columns other
+    than doc_id and text are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    small_batches(docs.sparkSession)
-    bands = bands_for(percent)
-    signed = keep(signatures(docs, k, bands), "signatures")
-    classes = keep(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands")), "classes")
-    rows = classes.select("digest", F.explode("bands").alias("band"))
-    heads = shuffled_anew(rows.groupBy("band").agg(F.min("digest").alias("head"), F.count("*").alias("c")).where("c > 1").select("band", "head"), "band")
-    stars = rows.join(heads, "band").where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = keep(connected_components(stars, "clusters"), "clusters")
-    texts = clusters.join(classes.select(F.col("digest").alias("node"), "doc_id"), "node").join(docs, "doc_id")
-    sets = keep(_as_sets(texts.withColumnRenamed("component", "cluster"), k), "sets")
-    links = connected_components(verified_links(sets, percent), "links")
-    drop(sets)
-    labelled = classes.select("digest", "doc_id").join(links.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    least = shuffled_anew(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
-    named = labelled.join(least, "component").select("digest", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return judged(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
