@@ -8,11 +8,11 @@ All stages but the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertiplan.llm import decontaminate, minhash, packing, secrets, toxicity
-from vertiplan.llm._store import keep
+from vertiplan.llm._store import drop, keep, scope
 
 TOXIC = 0.3
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -34,16 +34,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id; documents with a null id stay.
-    Rows that repeat a doc_id are one group, of which one row stays."""
+    """Of each group of near duplicates one row with the least doc_id; rows with a null id and those without text stay.
+    Rows that share a doc_id but not the text are judged each on its own; of equal rows in a group one stays."""
     columns = docs.columns
-    judged = keep(minhash.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT).select("doc_id", "kept").where("doc_id is not null"), "judged")
-    removed = judged.where("not kept").select("doc_id").distinct()
-    repeated = judged.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return docs.join(removed, "doc_id", "left_anti").select(columns)
-    single = docs.join(removed.union(repeated), "doc_id", "left_anti").select(columns)
-    return single.unionByName(docs.join(repeated, "doc_id", "left_semi").select(columns).dropDuplicates(["doc_id"]))
+    judged = minhash.judged(docs, NEAR_WORDS, NEAR_PERCENT).where("component is not null").select("doc_id", "row_hash", "component", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    # one row per text; where several texts of a group have its least id, the one with the least hash stays
+    texts = judged.groupBy("component", "doc_id", "row_hash", "kept").agg(F.count("*").alias("n"))
+    texts = keep(texts.select("component", "doc_id", "row_hash", "kept", (F.col("kept") & (F.col("n") > 1)).alias("once")), "judged")
+    ranked = texts.where("kept").groupBy("component").agg(F.min("row_hash").alias("stays"), F.count("*").alias("c")).where("c > 1")
+    more = texts.where("kept").join(ranked, "component").where("row_hash <> stays").select("doc_id", "row_hash", F.lit(False).alias("once"))
+    told = texts.where("not kept or once").select("doc_id", "row_hash", F.col("kept").alias("once")).union(more)
+    told = told.groupBy("doc_id", "row_hash").agg(F.min("once").alias("once"))
+    told = told.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("once").alias("_once"))
+    key = (F.col("doc_id").cast("long") == F.col("_id")) & (minhash.row_hash("text") == F.col("_hash"))
+    if texts.where("once").isEmpty():
+        return docs.join(told, key, "left_anti").select(columns)
+    told = keep(told, "told")
+    single = docs.join(told, key, "left_anti").select(columns)
+    order = Window.partitionBy("_id", "_hash").orderBy(*(F.col(f"`{c}`") for c in columns))
+    repeated = docs.join(told.where("_once"), key).withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(columns)
+    return single.union(repeated)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,5 +86,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        with scope(spark) as inner:
+            before, docs = docs, keep(stage(spark, docs, sf_dir), name)
+            inner.remove(docs.kept_path)
+        if hasattr(before, "kept_path"):
+            drop(before)
     return docs
