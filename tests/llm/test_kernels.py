@@ -195,7 +195,7 @@ def test_scan_of_long_runs():
         _in_time(10, lambda n, odd=odd: secrets.scan(odd * n), 60_000)
 
 
-def test_chains_like_quadratic_search():
+def test_chains_keep_the_order_of_both_sides():
     rng = random.Random(9)
     for _ in range(50):
         n = rng.randint(1, 12)
@@ -212,7 +212,7 @@ def test_chains_like_quadratic_search():
         assert value(found[0]) >= max(seg[:, 2])
 
 
-def test_chain_after_a_long_match():
+def test_chains_like_quadratic_search():
     seg = np.array([[0, 0, 300]] + [[400 + 20 * i, 400 + 20 * i + i % 2, 12] for i in range(6)])
     assert sorted(map(len, substrings.chains(seg))) == [1, 6]
     rng = random.Random(10)
@@ -292,6 +292,8 @@ def test_exact_passages_like_brute_force():
             for _ in range(3):
                 a = rng.randrange(60)
                 w += rng.choice(pool)[a : a + rng.randint(10, 75)] + _some_words(rng, rng.randint(0, 40))
+            if i % 5 == 0:  # texts that repeat a line or a passage
+                w += (pool[0][:7] * rng.randint(8, 40) + pool[1][:60] * rng.randint(1, 4) + _some_words(rng, 3)) * rng.randint(1, 2)
             texts.append((i, w))
         found = _passages(texts)
         seen = set()
@@ -302,6 +304,19 @@ def test_exact_passages_like_brute_force():
             seen.update(own)
 
 
+def test_a_text_that_repeats_itself_lies_on_few_diagonals():
+    rng = random.Random(14)
+    line = _some_words(rng, 9)
+    texts = [(1, line * 300), (2, _some_words(rng, 5) + line * 900), (3, line * 900)]
+    rows = _passages(texts)
+    assert len(rows) <= 40
+    for i, n in ((2, 5), (3, 0)):
+        covered = set()
+        for r in rows:
+            covered |= set(range(r[2], r[3])) if r[0] == i else set()
+        assert covered >= set(range(n, n + 8100))
+
+
 def test_two_passages_in_one_chain():
     rng = random.Random(4)
     one, two = _some_words(rng, 52), _some_words(rng, 52)

@@ -230,6 +230,37 @@ def test_repeated_passages(spark):
     assert rows[3, 1].n_words == 70 and 0.95 < rows[3, 1].identity < 0.96
 
 
+def _runs(text, n=50):
+    w = [x.lower() for x in re.findall(rb"[0-9a-zA-Z\x80-\xff]+", text.encode())]
+    return [(a, hash(tuple(w[a : a + n]))) for a in range(len(w) - n + 1)]
+
+
+def test_repeated_passages_like_brute_force(spark):
+    """Every run of 50 words that a smaller document has lies in a reported passage, on a whole given table."""
+    found = collections.defaultdict(list)
+    for r in queries.queries()["op9_substring_dedup"](spark, SMALL).collect():
+        found[r.doc_id].append((r.start, r.end))
+        assert r.source_id < r.doc_id and r.n_words >= 50 and r.identity >= 0.8 - 1e-9
+    seen, shared = set(), 0
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect():
+        own = _runs(r.text or "")
+        for a, run in own:
+            if run in seen:
+                shared += 1
+                assert any(x <= a and a + 50 <= y for x, y in found[r.doc_id])
+        seen.update(run for _, run in own)
+    assert shared
+
+
+def test_passages_of_repeated_ids(spark):
+    rng = random.Random(31)
+    long, other = _words(120, rng), _words(80, rng)
+    rows = [(1, " ".join(long)), (2, " ".join(other[:30])), (2, " ".join(long[10:100])), (3, " ".join(long)), (3, " ".join(long)), (4, "short"), (4, " ".join(other + long[:70]))]
+    got = substrings.repeated_passages(spark.createDataFrame([(*r, 7) for r in rows], DOC + ", source_id int")).collect()
+    assert {(r.doc_id, r.source_id) for r in got} >= {(2, 1), (3, 1), (4, 1)}
+    assert len(got) == len({tuple(r) for r in got})
+
+
 def test_top_k(spark):
     rng = random.Random(12)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)]
