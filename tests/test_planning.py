@@ -229,14 +229,6 @@ def test_placement_keeps_its_distance(spark):
     assert [(r.candidate, r.gain) for r in O.place_n(c, d, 4, 1.0, 0.4).collect()] == [(1, 9.0), (3, 1.0), (2, 0.0)]
 
 
-def test_routes_avoid_zones():
-    boxes = [(2.0, 4.0, -1.0, 1.0), (5.0, 6.0, -3.0, 0.5)]
-    status, path = O.route((0.0, 0.0), (8.0, 0.0), boxes)
-    assert status == "detour" and path[0] == (0.0, 0.0) and path[-1] == (8.0, 0.0)
-    assert all(O._clear(a, b, boxes) for a, b in zip(path, path[1:]))
-    assert O.route((0.0, 2.0), (8.0, 2.0), boxes)[0] == "clear" and O.route((3.0, 0.0), (8.0, 0.0), boxes)[0] == "end_in_zone"
-
-
 def test_parallel_edges(spark):
     e = [(1, 1, 2, 37.0, 55.0, 37.01, 55.0), (1, 3, 4, 37.001, 55.0002, 37.009, 55.0002), (1, 5, 6, 37.0, 55.01, 37.01, 55.01), (1, 7, 8, 37.005, 54.995, 37.005, 55.005)]
     got = O.suppress_parallel(spark.createDataFrame(e, "cluster long, a long, b long, ax double, ay double, bx double, by double"))

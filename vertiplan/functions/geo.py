@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
 METRES_PER_DEGREE = 111_320.0
+#: Middle latitude of a city without a boundary.
+DEFAULT_LATITUDE = 55.0
 _MERCATOR = 6378137.0
 
 
@@ -74,6 +76,17 @@ def from_utm(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
     return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (6 * zone - 183), F.degrees(lat)
 
 
+def utm_sql(lon: str, lat: str, zone: int) -> tuple[str, str]:
+    """The same series as ``utm`` as SQL text."""
+    e = 2 * _N**0.5 / (1 + _N)
+    lam = f"radians({lon} - {6 * zone - 183})"
+    t = f"sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat}))))"
+    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1 + {t} * {t}))"
+    x = " + ".join([eta, *(f"{a!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(_ALPHA, 1))])
+    y = " + ".join([xi, *(f"{a!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(_ALPHA, 1))])
+    return f"({_EAST!r} + {_K0 * _RADIUS!r} * ({x}))", f"({_K0 * _RADIUS!r} * ({y}))"
+
+
 def ring_area(x: str = "x1", y: str = "y1", x2: str = "x2", y2: str = "y2") -> Column:
     """Signed area as an aggregate over a ring's edges."""
     return F.sum(F.col(x) * F.col(y2) - F.col(x2) * F.col(y)) / 2

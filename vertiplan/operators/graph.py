@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vertiplan.functions.geo import haversine_km
 from vertiplan.session import checkpointed
 
 
@@ -86,6 +87,18 @@ def dbscan(points: DataFrame, eps_m: float, least: int, latitude: float) -> Data
     return points.select("point_id").join(out, "point_id", "left").select("point_id", "cluster", F.coalesce("core", F.lit(False)).alias("core"))
 
 
+def all_pairs(nodes: DataFrame, key: str, most: int = 3000) -> DataFrame:
+    """(a, b, weight) of all pairs of the stations (key, lon, lat) of one city, at most ``most``, checked. The pairs are the
+    result; both ends are dealt to blocks, which meet in a join."""
+    if (n := nodes.count()) > most:
+        raise ValueError(f"{n} stations; a complete graph is for at most {most}")
+    k = max(1, -(-n // 256))
+    rows = nodes.select(F.col(key).alias("id"), "lon", "lat").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    a = rows.select(F.col("id").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("own").alias("i"), F.col("other").alias("j"))
+    b = rows.select(F.col("id").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"), F.col("other").alias("i"), F.col("own").alias("j"))
+    return a.join(b, ["i", "j"]).where("a < b").select("a", "b", F.round(haversine_km(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx")), 6).alias("weight"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
@@ -98,6 +111,15 @@ def bridges(label: DataFrame, pairs: DataFrame) -> DataFrame:
     return across.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("weight", "a", "b")).alias("e")).select("ca", "cb", "e.a", "e.b", "e.weight")
 
 
+def repairs(nodes: DataFrame, have: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, weight): of ``pairs`` those that join the parts that the edges ``have`` leave, always the shortest one next. A
+    part's distances to others do not change as it grows, so this is a least spanning forest over the parts."""
+    label = checkpointed(components(nodes, have))
+    between = checkpointed(bridges(label, pairs.select("a", "b", "weight")))
+    forest = spanning_forest(label.select(F.col("component").alias("node")).distinct(), between.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "weight"))
+    return between.join(forest.select(F.col("a").alias("ca"), F.col("b").alias("cb")), ["ca", "cb"], "left_semi").select("a", "b", "weight")
+
+
 def shortest_paths(requests: DataFrame, nodes: DataFrame, edges: DataFrame, most_nodes: int = 10_000) -> DataFrame:
     """requests (request_id, source, target) -> (request_id, status, km, path) by A* with the great-circle bound.
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,20 @@ def workshop_candidates(buildings: DataFrame, landuse: DataFrame) -> DataFrame:
     return landuse.select((-1 - F.col("landuse_id")).alias("candidate_id"), F.lit(None).cast("long").alias("building_id"), F.lit(None).cast("double").alias("area_m2"))
 
 
+def station_candidates(buildings: DataFrame, zones: DataFrame, landuse: DataFrame, kind: str) -> DataFrame:
+    """(candidate_id) of a type outside zones: rooftop, ground, garage or to; an unknown type has none. buildings need btag."""
+    inside = J.points_in_polygons(buildings, rings(zones, "zone_id"), "building_id", "zone_id").select("building_id").distinct()
+    free = buildings.join(inside, "building_id", "left_anti")
+    roof = F.col("btag").isin("apartments", "dormitory")
+    if kind == "rooftop":
+        return free.where(roof).select(F.col("building_id").alias("candidate_id"))
+    if kind == "ground":
+        return free.where(~roof & (F.col("btag").isin(B.GROUND_TAGS) | (F.col("btag") == "office") | (F.col("area_m2") > 400))).select(F.col("building_id").alias("candidate_id"))
+    if kind in ("garage", "to"):
+        return workshop_candidates(free, landuse).select("candidate_id")
+    return buildings.select(F.col("building_id").alias("candidate_id")).limit(0)
+
+
 def grid_box(points: DataFrame, margin: float = 0.01) -> tuple[float, float, float, float]:
     r = points.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
     return r[0] - margin, r[1] + margin, r[2] - margin, r[3] + margin
@@ -107,9 +121,9 @@ def min_cost(costs: dict[tuple[int, int], int], capacity: int) -> dict[int, int]
         best: dict[tuple[str, int], int] = {("b", start): 0}
         before: dict[tuple[str, int], tuple[str, int]] = {}
         # moved edges have negative cost, so labels are corrected until they settle
-        queue, end = [("b", start)], None
+        queue = deque([("b", start)])
         while queue:
-            node = queue.pop(0)
+            node = queue.popleft()
             d = best[node]
             if node[0] == "b":
                 near = [(("a", a), c) for a, c in by_b[node[1]] if of.get(node[1]) != a]
@@ -136,12 +150,18 @@ def min_cost(costs: dict[tuple[int, int], int], capacity: int) -> dict[int, int]
 
 
 def assign(b_stations: DataFrame, a_stations: DataFrame, capacity: int, near: int = 6) -> DataFrame:
-    """(b, a, cost): each B station to one of its ``near`` nearest A stations at the least total cost, at most
-    ``capacity`` for each A where that is possible. Cost: 1e6 * (km + 4 * (km over 3.2) squared), truncated.
-    One global optimum, so the pair table (stations of one city) is solved in a single task."""
-    n = J.nearest(b_stations, a_stations, "b", "a", near)
+    """(b, a, cost): each B station to one of its ``near`` nearest A stations, as ``assign_pairs``."""
+    return assign_pairs(J.nearest(b_stations, a_stations, "b", "a", near).select("b", "a", "km"), capacity)
+
+
+def assign_pairs(pairs: DataFrame, capacity: int, most: int = 200_000) -> DataFrame:
+    """pairs (b, a, km) -> (b, a, cost): every B station to one A station at the least total cost, at most ``capacity`` for each A
+    where that is possible. Cost: 1e6 * (km + 4 * (km over 3.2) squared), truncated. One global optimum, so the
+    pairs of one city, at most ``most``, checked, are solved in a single task."""
+    if (n := pairs.count()) > most:
+        raise ValueError(f"{n} pairs; an assignment is solved for at most {most}")
     over = F.greatest(F.lit(0.0), F.col("km") - 3.2)
-    pairs = n.select("b", "a", (1e6 * (F.col("km") + 4 * over * over)).cast("long").alias("cost"))
+    pairs = pairs.select("b", "a", (1e6 * (F.col("km") + 4 * over * over)).cast("long").alias("cost"))
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         costs = {(b, a): c for b, a, c in zip(f["b"].tolist(), f["a"].tolist(), f["cost"].tolist(), strict=True)}
@@ -258,7 +278,17 @@ def triangulate(points: np.ndarray) -> set[tuple[int, int]]:
             if times == 1:
                 t = tuple(sorted((a, b, i)))
                 triangles[t] = circle(t)
-    return {(a, b) for t in triangles for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])) if b < n}
+    found = {(a, b) for t in triangles for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])) if b < n}
+    # flat triangles at the rim can lose to the outer corners, but the rim's edges are neighbours in any case
+    order = sorted(range(n), key=lambda i: (p[i, 0], p[i, 1]))
+    for way in (order, order[::-1]):
+        rim: list[int] = []
+        for i in way:
+            while len(rim) > 1 and (p[rim[-1], 0] - p[rim[-2], 0]) * (p[i, 1] - p[rim[-2], 1]) - (p[rim[-1], 1] - p[rim[-2], 1]) * (p[i, 0] - p[rim[-2], 0]) < -1e-15:
+                rim.pop()
+            rim.append(i)
+        found |= {(min(a, b), max(a, b)) for a, b in zip(rim, rim[1:])}
+    return found
 
 
 def delaunay_edges(sites: DataFrame) -> DataFrame:
@@ -274,6 +304,31 @@ def delaunay_edges(sites: DataFrame) -> DataFrame:
     return sites.groupBy("cluster").applyInPandas(run, "cluster long, a long, b long")
 
 
+def global_neighbours(sites: DataFrame, near: DataFrame, most_km: float, tile: float = 0.08) -> DataFrame:
+    """sites (site, cluster, lon, lat), near (ca, cb): cluster pairs -> (a, b): neighbours in the triangulation of all sites,
+    within a cluster, or between two near ones up to ``most_km``.
+
+    Tiles of ``tile`` degrees are triangulated with the sites around them, half a tile wide, and keep the edges whose middle they
+    hold. So a task holds the sites of four tiles' area, and edges that are longer than half a tile may be missed or added."""
+    t = lambda c, d: F.floor((F.col(c) + d * tile) / tile)
+    dealt = sites.withColumn("tx", F.explode(F.sequence(t("lon", -0.5), t("lon", 0.5)))).withColumn("ty", F.explode(F.sequence(t("lat", -0.5), t("lat", 0.5))))
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("site").drop_duplicates(["lon", "lat"])
+        ids, p = f["site"].tolist(), f[["lon", "lat"]].to_numpy()
+        found = [(ids[a], ids[b]) for a, b in sorted(triangulate(p)) if tuple(np.floor((p[a] + p[b]) / 2 / tile)) == key]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    edges = dealt.select("tx", "ty", "site", "lon", "lat").groupBy("tx", "ty").applyInPandas(run, "a long, b long").distinct()
+    ends = edges
+    for x in ("a", "b"):
+        ends = ends.join(sites.select(F.col("site").alias(x), F.col("cluster").alias(f"c{x}"), F.col("lon").alias(f"{x}x"), F.col("lat").alias(f"{x}y")), x)
+    km = haversine_km(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx"))
+    across = ends.where((F.col("ca") != F.col("cb")) & (km <= most_km)).withColumn("lo", F.least("ca", "cb")).withColumn("hi", F.greatest("ca", "cb"))
+    allowed = across.join(near.select(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).distinct(), ["lo", "hi"], "left_semi")
+    return ends.where("ca = cb").select("a", "b").union(allowed.select("a", "b"))
+
+
 def with_ends(edges: DataFrame, sites: DataFrame) -> DataFrame:
     a = sites.select(F.col("site").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
     b = sites.select(F.col("site").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
@@ -307,66 +362,3 @@ def suppress_parallel(edges: DataFrame, angle: float = 18.0, middle_m: float = 9
         return f.iloc[sorted(kept)][["cluster", "a", "b"]]
 
     return edges.select("cluster", "a", "b", "ax", "ay", "bx", "by").groupBy("cluster").applyInPandas(run, "cluster long, a long, b long")
-
-
-def _clear(a, b, boxes, slack: float = 1e-9) -> bool:
-    for x0, x1, y0, y1 in boxes:
-        lo, hi = 0.0, 1.0
-        for s, d, m, n in ((a[0], b[0] - a[0], x0, x1), (a[1], b[1] - a[1], y0, y1)):
-            if abs(d) < 1e-15:
-                if s <= m or s >= n:
-                    lo, hi = 1.0, 0.0
-            else:
-                t, u = sorted(((m - s) / d, (n - s) / d))
-                lo, hi = max(lo, t), min(hi, u)
-        if hi - lo > slack:
-            return False
-    return True
-
-
-def route(a: tuple[float, float], b: tuple[float, float], boxes: list[tuple[float, float, float, float]]) -> tuple[str, list[tuple[float, float]] | None]:
-    """Shortest way from a to b around boxes: straight if clear, else over their corners."""
-    if any(x0 < p[0] < x1 and y0 < p[1] < y1 for p in (a, b) for x0, x1, y0, y1 in boxes):
-        return "end_in_zone", None
-    if _clear(a, b, boxes):
-        return "clear", [a, b]
-    points = [a, b, *dict.fromkeys((x, y) for x0, x1, y0, y1 in boxes for x in (x0, x1) for y in (y0, y1))]
-    best, before, heap, done = {0: 0.0}, {}, [(0.0, 0)], set()
-    while heap:
-        d, i = heapq.heappop(heap)
-        if i in done:
-            continue
-        done.add(i)
-        if i == 1:
-            path = [1]
-            while path[-1] in before:
-                path.append(before[path[-1]])
-            return "detour", [points[j] for j in path[::-1]]
-        for j, to in enumerate(points):
-            if j not in done and _clear(points[i], to, boxes):
-                c = d + math.hypot((to[0] - points[i][0]) * math.cos(math.radians(to[1])), to[1] - points[i][1])
-                if c < best.get(j, math.inf):
-                    best[j], before[j] = c, i
-                    heapq.heappush(heap, (c, j))
-    return "no_path", None
-
-
-def detours(segments: DataFrame, zones: DataFrame, reach: float = 0.02) -> DataFrame:
-    """segments (edge_id, ax, ay, bx, by) -> (edge_id, status, km, path array<struct<lon,lat>>): the way around the
-    zones whose boxes come within ``reach`` degrees of the segment's."""
-    s = segments.selectExpr("edge_id", "ax", "ay", "bx", "by", f"least(ax, bx) - {reach} as xmin", f"greatest(ax, bx) + {reach} as xmax", f"least(ay, by) - {reach} as ymin", f"greatest(ay, by) + {reach} as ymax")
-    cells = J._box_cells(s, 0.05).select("edge_id", "_cx", "_cy", *[F.col(c).alias(f"s{c}") for c in ("xmin", "xmax", "ymin", "ymax")])
-    near = cells.join(J._box_cells(zones.select("zone_id", "xmin", "xmax", "ymin", "ymax"), 0.05), ["_cx", "_cy"]).where("sxmin <= xmax and sxmax >= xmin and symin <= ymax and symax >= ymin")
-    boxes = near.groupBy("edge_id").agg(F.sort_array(F.collect_set(F.array("xmin", "xmax", "ymin", "ymax"))).alias("boxes"))
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for e, ax, ay, bx, by, found in zip(f["edge_id"], f["ax"], f["ay"], f["bx"], f["by"], f["boxes"], strict=True):
-                status, path = route((ax, ay), (bx, by), [tuple(x) for x in found] if found is not None else [])
-                out.append((e, status, path and [{"lon": x, "lat": y} for x, y in path]))
-            yield pd.DataFrame(out, columns=["edge_id", "status", "path"])
-
-    routed = s.join(boxes, "edge_id", "left").select("edge_id", "ax", "ay", "bx", "by", "boxes").mapInPandas(run, "edge_id long, status string, path array<struct<lon:double,lat:double>>")
-    step = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: haversine_km(F.element_at("path", i.cast("int"))["lat"], F.element_at("path", i.cast("int"))["lon"], F.element_at("path", (i + 1).cast("int"))["lat"], F.element_at("path", (i + 1).cast("int"))["lon"]))
-    return routed.withColumn("km", F.when(F.col("path").isNotNull(), F.aggregate(step, F.lit(0.0), lambda a, x: a + x)))

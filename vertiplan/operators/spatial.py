@@ -12,38 +12,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertiplan.functions.geo import haversine_km
+from vertiplan.session import checkpointed
 
-#: Greatest latitude (degrees) for which a cell is wide enough; the poles need another lattice.
-MAX_LATITUDE = 75.0
-_KM_PER_DEGREE = 111.19
+_EARTH_KM = 6371.0
 
 
-def _cells(x: Column, y: Column, width: float, height: float) -> tuple[Column, Column]:
-    return F.floor(x / width).cast("long"), F.floor(y / height).cast("long")
+def _on_sphere(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """Kilometres along three axes: nothing is special about the poles or the date line."""
+    r = _EARTH_KM * F.cos(F.radians(lat))
+    return r * F.cos(F.radians(lon)), r * F.sin(F.radians(lon)), _EARTH_KM * F.sin(F.radians(lat))
 
 
-def within_km(left: DataFrame, right: DataFrame, km: float, left_id: str, right_id: str, max_latitude: float = MAX_LATITUDE) -> DataFrame:
+def within_km(left: DataFrame, right: DataFrame, km: float, left_id: str, right_id: str) -> DataFrame:
     """Pairs (left columns l_*, right columns r_*, km) of points (lon, lat) at most ``km`` apart.
 
-    Cells are at least ``km`` wide up to ``max_latitude``, so only the nine around a point can match.
-    Points without coordinates match nothing.
+    Space is dealt to cubes twice ``km`` wide. A left point is in one; a right point is in those that come within
+    ``km`` of it, at most eight and three and a half on average. Points without coordinates match nothing.
     """
-    import math
-
-    height = km / _KM_PER_DEGREE * 1.001
-    width = height / math.cos(math.radians(max_latitude))
+    side, reach = 2 * km, km * (1 + 1e-9) + 1e-9
     a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).where("l_lon is not null and l_lat is not null")
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).where("r_lon is not null and r_lat is not null")
-    ax, ay = _cells(F.col("l_lon"), F.col("l_lat"), width, height)
-    bx, by = _cells(F.col("r_lon"), F.col("r_lat"), width, height)
-    a = a.withColumn("_cx", ax).withColumn("_cy", ay)
-    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> named_struct('x', i, 'y', j))))"))
-    b = b.withColumn("_d", around).withColumn("_cx", bx + F.col("_d.x")).withColumn("_cy", by + F.col("_d.y")).drop("_d")
+    for name, at in zip(("_cx", "_cy", "_cz"), _on_sphere(F.col("l_lon"), F.col("l_lat")), strict=True):
+        a = a.withColumn(name, F.floor(at / side))
+    for name, at in zip(("_cx", "_cy", "_cz"), _on_sphere(F.col("r_lon"), F.col("r_lat")), strict=True):
+        b = b.withColumn(name, F.explode(F.sequence(F.floor((at - reach) / side), F.floor((at + reach) / side))))
     d = haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
-    return a.join(b, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("km", d).where(F.col("km") <= km)
+    return a.join(b, ["_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz").withColumn("km", d).where(F.col("km") <= km)
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, km: float | None = None, max_latitude: float = MAX_LATITUDE, same: bool = False) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, km: float | None = None, same: bool = False) -> DataFrame:
     """(left_id, right_id, km, rank): the k nearest right points of each left point, ties to the smaller
     right_id; ``same`` leaves out equal ids of a self-join.
 
@@ -54,21 +51,21 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: i
     order = Window.partitionBy("a").orderBy("km", "b")
 
     def search(points: DataFrame, radius: float) -> DataFrame:
-        pairs = within_km(points, right, radius, left_id, right_id, max_latitude).select(F.col(f"l_{left_id}").alias("a"), F.col(f"r_{right_id}").alias("b"), "km")
+        pairs = within_km(points, right, radius, left_id, right_id).select(F.col(f"l_{left_id}").alias("a"), F.col(f"r_{right_id}").alias("b"), "km")
         pairs = pairs.where("a <> b") if same else pairs
         return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     if km is not None:
         found = search(left, km)
     else:
-        radius, parts, rest = 2.0, [], left
+        radius, parts, rest, right = 2.0, [], left, checkpointed(right)
         goal = k + same
         enough = min(goal, right.limit(goal).count()) - same
         while enough > 0:
-            near = search(rest, radius).persist()
-            full = near.groupBy("a").count().where(F.col("count") >= enough).select(F.col("a").alias(left_id))
+            near = checkpointed(search(rest, radius))
+            full = near.groupBy("a").count().where((F.col("count") >= enough) | F.lit(radius > 20_100)).select(F.col("a").alias(left_id))
             parts.append(near.join(full.withColumnRenamed(left_id, "a"), "a", "left_semi"))
-            rest = rest.join(full, left_id, "left_anti").persist()
+            rest = checkpointed(rest.join(full, left_id, "left_anti"))
             if radius > 20_100 or rest.isEmpty():
                 break
             radius *= 4

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertiplan.functions import geo as G
 from vertiplan.operators import graph as N
 from vertiplan.operators import placement as O
-from vertiplan.plans import network, scalar
+from vertiplan.plans import composed, network, scalar
 from vertiplan.sources import osm
 from vertiplan.sources import tables as S
 
@@ -47,17 +49,25 @@ def local_paths(spark: SparkSession, sf_dir: str) -> dict[int, DataFrame]:
     return {level: clear.join(tall.where(F.col("h") < altitude - scalar.B.CLEARANCE_M).select(F.col("hotspot_id").alias("cluster")), "cluster", "left_semi").select("cluster", "a", "b", km.alias("km")) for level, altitude in enumerate(scalar.B.ALTITUDES_M[:3], 1)}
 
 
-def placement(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Layers of a whole plan."""
-    return {
-        "stations": network.forced_placement(spark, sf_dir),
-        "capacity": network.charging_capacity(spark, sf_dir),
-        "garages": network.place_facilities(spark, sf_dir),
-        "trunk": network.mst(spark, sf_dir),
-        "branches": network.assignment(spark, sf_dir),
-        "local": network.detour_routes(spark, sf_dir),
-        "metrics": network.placement_metrics(spark, sf_dir),
-    }
+def placement(spark: SparkSession, sf_dir: str, observer: Callable[[str, int], None] | None = None) -> dict[str, DataFrame]:
+    """Layers of a whole plan, each made from the ones before: stations, capacity, garages, trunk, branches, local links and
+    metrics. ``observer`` is told each stage's name and the share done in percent."""
+    steps = (
+        ("clusters", lambda: composed.cluster_regions(spark, sf_dir)),
+        ("stations", lambda: composed.charge_stations(spark, sf_dir)),
+        ("trunk", lambda: composed.trunk_lines(spark, sf_dir)),
+        ("branches", lambda: composed.branches(spark, sf_dir)),
+        ("garages", lambda: composed.garages(spark, sf_dir)),
+        ("local", lambda: composed.local_lines(spark, sf_dir)),
+    )
+    for i, (name, make) in enumerate(steps):
+        if observer:
+            observer(name, 100 * i // len(steps))
+        make()
+    out = composed.station_layers(spark, sf_dir) | {"capacity": network.charging_capacity(spark, sf_dir), "garages": composed.garages(spark, sf_dir), "metrics": composed.placement_totals(spark, sf_dir)}
+    if observer:
+        observer("done", 100)
+    return out
 
 
 def save(layers: dict[str, DataFrame], catalog: osm.CityCatalog) -> None:

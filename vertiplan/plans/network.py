@@ -9,6 +9,7 @@ from vertiplan.functions import buildings as B
 from vertiplan.functions import geo as G
 from vertiplan.operators import graph as N
 from vertiplan.operators import placement as O
+from vertiplan.operators import routing as Z
 from vertiplan.operators import spatial as J
 from vertiplan.plans.scalar import ATTRIBUTES, _list, described, sql
 from vertiplan.sources import tables as S
@@ -103,10 +104,8 @@ def hull_gap_pairs(spark, d):
 
 
 def complete_graph(spark, d):
-    h = S.hotspots(spark, d)
-    a, b = h.select(F.col("hotspot_id").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay")), h.select(F.col("hotspot_id").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
-    # every pair of stations is the result; stations are few thousand at most
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(G.haversine_km(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx")), 6).alias("km"))
+    """Every pair of stations is the result; the stations of one city are few thousand at most, which is checked."""
+    return N.all_pairs(S.hotspots(spark, d), "hotspot_id").withColumnRenamed("weight", "km")
 
 
 def _stations(spark, d):
@@ -329,7 +328,7 @@ def parallel_suppression(spark, d):
 
 
 def detour_routes(spark, d):
-    return O.detours(_local_edges(spark, d), S.zones(spark, d)).select("edge_id", "status", F.round("km", 6).alias("km"), F.size("path").alias("points"))
+    return Z.routed(_local_edges(spark, d), Z.boxes_as_rings(S.zones(spark, d), "zone_id"), "edge_id").select("edge_id", "status", F.round("km", 6).alias("km"), F.size("path").alias("points"))
 
 
 def zone_kinds(spark, d):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vertiplan.plans import network, regional, scalar
+from vertiplan.plans import city, composed, network, regional, scalar
 
-_ALL = scalar.QUERIES | network.QUERIES | regional.QUERIES
+_ALL = scalar.QUERIES | network.QUERIES | regional.QUERIES | composed.QUERIES | city.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in _ALL.items() if text}
+    return {name: text for name, (_, text) in _ALL.items() if text} | city.SQL

@@ -153,7 +153,7 @@ def utm_round_trip(spark, d):
     lon, lat = G.from_utm(F.col("x"), F.col("y"), 37)
     b = S.buildings(spark, d).select("building_id", "lon", "lat", x.alias("x"), y.alias("y"))
     near = (F.abs(lon - F.col("lon")) < 1e-7) & (F.abs(lat - F.col("lat")) < 1e-7)
-    return b.select("building_id", near.alias("back"))
+    return b.select("building_id", near.alias("back"), F.round(lon, 4).alias("lon"), F.round(lat, 4).alias("lat"))
 
 
 def mercator_area(spark, d):

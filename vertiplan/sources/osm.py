@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vertiplan.functions.geo import haversine_km
 from vertiplan.sources.tables import table
 
 ROAD_KINDS = ("trunk", "primary", "secondary", "tertiary")
@@ -51,23 +52,48 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(f"{k} as feature_id", f"case {k} % 17 when 0 then 'heliport' when 1 then 'apron' end as aeroway", f"case {k} % 17 when 2 then 'park' when 3 then 'pitch' end as leisure", f"case {k} % 17 when 4 then 'school' when 5 then 'clinic' when 6 then 'fuel' when 7 then 'cafe' end as amenity", f"case {k} % 19 when 0 then 'military' when 1 then 'recreation_ground' end as landuse", f"case {k} % 23 when 0 then 'plant' when 1 then 'nuclear' end as power", f"case {k} % 29 when 0 then 'station' end as railway")
 
 
-def roads(edges: DataFrame, xmin: float, xmax: float, ymin: float, ymax: float) -> DataFrame:
-    """Road edges (highway, lon, lat, ...) of the network's kinds inside a box; an empty result is an error."""
-    found = edges.where(F.col("highway").isin(*ROAD_KINDS) & F.col("lon").between(xmin, xmax) & F.col("lat").between(ymin, ymax))
+def roads(edges: DataFrame, xmin: float, xmax: float, ymin: float, ymax: float, centre: tuple[float, float] | None = None, radius_km: float = 10.0) -> DataFrame:
+    """Road edges (highway, lon, lat, ...) of the network's kinds inside a box, else within ``radius_km`` of ``centre`` if one is
+    given; an empty result is an error."""
+    own = edges.where(F.col("highway").isin(*ROAD_KINDS))
+    found = own.where(F.col("lon").between(xmin, xmax) & F.col("lat").between(ymin, ymax))
+    if centre is not None and found.isEmpty():
+        found = own.where(haversine_km(F.lit(centre[1]), F.lit(centre[0]), F.col("lat"), F.col("lon")) <= radius_km)
     if found.isEmpty():
         raise ValueError("no roads in the box")
     return found
 
 
+def zone_shapes(zones: DataFrame, buildings: DataFrame) -> DataFrame:
+    """Point zones (feature_id, zone_kind, buffered, lon, lat) -> (feature_id, zone_kind, shape, building_id, radius): the footprint
+    of the nearest building within SEARCH_DEGREES, else a circle of BUFFER_DEGREES; buffered kinds are circles always."""
+    cell = lambda c: F.floor(F.col(c) / SEARCH_DEGREES)
+    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> named_struct('i', i, 'j', j))))"))
+    near = zones.where("not buffered").select("feature_id", "lon", "lat", around.alias("o")).select("feature_id", "lon", "lat", (cell("lon") + F.col("o.i")).alias("cx"), (cell("lat") + F.col("o.j")).alias("cy"))
+    b = buildings.select("building_id", F.col("lon").alias("bx"), F.col("lat").alias("by"), cell("lon").alias("cx"), cell("lat").alias("cy"))
+    far = F.sqrt((F.col("bx") - F.col("lon")) ** 2 + (F.col("by") - F.col("lat")) ** 2)
+    best = near.join(b, ["cx", "cy"]).withColumn("far", far).where(F.col("far") <= SEARCH_DEGREES).groupBy("feature_id").agg(F.min(F.struct("far", "building_id"))["building_id"].alias("building_id"))
+    out = zones.join(best, "feature_id", "left")
+    return out.select("feature_id", "zone_kind", F.when(F.col("building_id").isNull(), "circle").otherwise("building").alias("shape"), "building_id", F.when(F.col("building_id").isNull(), BUFFER_DEGREES).alias("radius"))
+
+
 def boundary(polygon: DataFrame | None, districts: DataFrame | None, nodes: DataFrame) -> DataFrame:
     """The city's ring (seq, lon, lat): the given polygon, else the largest district (district_id, seq, lon, lat,
-    area), else the convex hull of the nodes (lon, lat)."""
+    area), else the convex hull of the nodes (lon, lat), their box where that is no area."""
     if polygon is not None and not polygon.isEmpty():
         return polygon.select("seq", "lon", "lat")
     if districts is not None and not districts.isEmpty():
         largest = districts.orderBy(F.desc("area"), "district_id").first()["district_id"]
         return districts.where(F.col("district_id") == largest).select("seq", "lon", "lat")
-    return convex_hull(nodes)
+    hull = convex_hull(nodes)
+    return hull if hull.count() > 2 else box_ring(nodes)
+
+
+def box_ring(points: DataFrame) -> DataFrame:
+    """(seq, lon, lat) of the corners of the points' box, counter-clockwise."""
+    box = points.agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1")).where("x0 is not null")
+    corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
+    return box.select(F.posexplode(F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))).alias("seq", "p")).select("seq", "p.lon", "p.lat")
 
 
 def convex_hull(points: DataFrame) -> DataFrame:
