@@ -1,14 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item that share a run of ``SEED`` words are candidates. Running
-Karp-Rabin hashes of word windows give all their common runs; the longest is marked as a tile, what
-overlaps it is cut, and so on until no run of ``SEED`` unmarked words is left. The share of an item's
-words under tiles does not depend on the order of the tiles, so reordered passages are caught.
+A document and a benchmark item that share a run of ``SEED`` words are candidates. Running Karp-Rabin
+hashes tell whether the two still share a run of any given length among their unmarked words; a search over the
+length finds the longest, all runs of that length are marked as tiles, and the search goes on below it until no run
+of ``SEED`` unmarked words is left. The share of an item's words under tiles does not depend on the
+order of the tiles, so reordered passages are caught. Memory is a few arrays as long as the two texts,
+however often their words repeat.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import small_batches
-from ._words import words
+from ._words import powers, words
 from .toxicity import _WORD
 
 SEED = 5
@@ -28,36 +29,64 @@ BROADCAST_BYTES = 32_000_000
 _OUT = "doc_id long, item_id long, coverage double, n_tiles int, n_words long"
 
 
-def tiles(left: np.ndarray, right: np.ndarray, least: int, left_runs: np.ndarray, right_runs: np.ndarray) -> list[tuple[int, int, int]]:
+class _Side:
+    """Words of one text, which of them are unmarked, and running hashes of their windows."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        n = len(hashes)
+        up, self.down = powers(n + 1)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * up[:n], out=self.total[1:])
+        self.marked = np.zeros(n, bool)
+        self.free()
+
+    def free(self) -> None:
+        """Unmarked words in a row from each word on."""
+        n = len(self.marked)
+        after = np.minimum.accumulate(np.where(self.marked, np.arange(n), n)[::-1])[::-1]
+        self.run = after - np.arange(n)
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of unmarked windows, and their hashes: each from the one of the words before it."""
+        at = np.flatnonzero(self.run >= size)
+        return at, (self.total[at + size] - self.total[at]) * self.down[at]
+
+
+def tiles(left: np.ndarray, right: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two arrays of word hashes: (left, right, length), longest first, ties to
-    the leftmost. *_runs: Karp-Rabin hash of the ``least`` words from each word on."""
-    order = np.argsort(left_runs, kind="stable")
-    low, high = np.searchsorted(left_runs[order], right_runs, "left"), np.searchsorted(left_runs[order], right_runs, "right")
-    n = high - low
-    if not n.sum():
-        return []
-    j = np.repeat(np.arange(len(right_runs)), n)
-    i = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-    at = np.lexsort((i, j - i))
-    i, j = i[at], j[at]
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 1) | (np.diff(j) != 1))))
-    size = np.diff(np.concatenate((new, [len(i)]))) + least - 1
-    heap = [(-s, a, b) for s, a, b in zip(size.tolist(), i[new].tolist(), j[new].tolist(), strict=True)]
-    heapq.heapify(heap)
-    used_l, used_r = np.zeros(len(left), bool), np.zeros(len(right), bool)
-    out = []
-    while heap:
-        s, a, b = heapq.heappop(heap)
-        s = -s
-        free = ~(used_l[a : a + s] | used_r[b : b + s])
-        if free.all():
-            out.append((a, b, s))
-            used_l[a : a + s] = used_r[b : b + s] = True
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], free.view(np.int8), [0]))))
-        for x, y in edge.reshape(-1, 2).tolist():
-            if y - x >= least:
-                heapq.heappush(heap, (-(y - x), a + x, b + x))
+    the leftmost in ``left``, then in ``right``."""
+    p, t = _Side(left), _Side(right)
+    out: list[tuple[int, int, int]] = []
+
+    def shared(size: int) -> bool:
+        return bool(np.isin(p.windows(size)[1], t.windows(size)[1]).any())
+
+    most = min(int(p.run.max(initial=0)), int(t.run.max(initial=0)))
+    while most >= least and shared(least):
+        low = least
+        while low < most:
+            middle = (low + most + 1) // 2
+            low, most = (middle, most) if shared(middle) else (low, middle - 1)
+        (at, own), (places, others) = p.windows(low), t.windows(low)
+        order = np.argsort(others, kind="stable")
+        others, places = others[order], places[order].tolist()
+        first, past = np.searchsorted(others, own, "left").tolist(), np.searchsorted(others, own, "right").tolist()
+        next_free: dict[int, int] = {}
+        for i, x, y in zip(at.tolist(), first, past, strict=True):
+            if x == y or p.marked[i] or p.marked[i + low - 1]:
+                continue
+            k = next_free.get(x, x)
+            # a window of the length that is marked next is free if its ends are
+            while k < y and (t.marked[places[k]] or t.marked[places[k] + low - 1]):
+                k += 1
+            next_free[x] = k
+            if k < y:
+                j = places[k]
+                out.append((i, j, low))
+                p.marked[i : i + low] = t.marked[j : j + low] = True
+        p.free()
+        t.free()
+        most = min(low - 1, int(p.run.max(initial=0)), int(t.run.max(initial=0)))
     return out
 
 
@@ -93,7 +122,7 @@ def _tiled(items: _Items, column: pa.Array, ids: list[int | None], threshold: fl
             own = hit[doc == d]
             past = np.searchsorted(items.seeds, h[own], "right")
             for item in np.unique(np.concatenate([items.owner[x:y] for x, y in zip(low[own], past)])).tolist():
-                found = tiles(items.words[item], w.hash[a:b], SEED, items.runs[item], h[a : b - SEED + 1])
+                found = tiles(items.words[item], w.hash[a:b], SEED)
                 n = sum(x[2] for x in found)
                 if n >= threshold * len(items.words[item]):
                     yield ids[row + d], int(items.ids[item]), n / len(items.words[item]), len(found), n
@@ -160,6 +189,7 @@ def _seeds(texts: DataFrame, key: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
-    """docs without those that hold a benchmark item; documents with a null id stay."""
+    """docs without those that hold a benchmark item; documents with a null id stay, null and empty texts too. Where a
+    doc_id repeats, all its rows go if one holds an item."""
     bad = contaminated(docs, benchmark, threshold).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
