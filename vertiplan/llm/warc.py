@@ -1,14 +1,15 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are sorted by page_id over shards whose borders follow from a histogram of payload bytes
+Records are sorted by page_id over shards whose borders follow from the ids and bytes
 alone, so a rerun writes the same files byte for byte. A task rolls its shard's files by compressed
-size, writes each under a temporary name of its attempt, and renames it when it is whole. The files
-that count are those in the manifest, which is written last.
+size, writes each under a temporary name of its attempt, and renames it when it is whole, unless another
+attempt has done so. The files that count are those in the manifest, which is written last.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import posixpath
 import uuid
 import zlib
@@ -26,7 +27,8 @@ LEAST_REVISIT = 100
 #: Payload bytes of a shard, and compressed bytes at which a file is closed.
 SHARD_BYTES = 32_000_000
 FILE_BYTES = 8_000_000
-_CELLS = 4096
+#: Ranges of ids at most, and rows that their borders are taken from.
+_RANGES, _SAMPLE = 4096, 65_536
 _MANIFEST = "file string, shard int, part int, records long, bytes long, sha256 string"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -102,30 +104,53 @@ class _Roller:
         final = posixpath.join(self.root, self.name)
         from pyarrow import fs
 
-        if self.fs.get_file_info(final).type != fs.FileType.NotFound:
-            self.fs.delete_file(final)
-        self.fs.move(self.temporary, final)
+        def is_there() -> bool:
+            return self.fs.get_file_info(final).type != fs.FileType.NotFound
+
+        # a file's bytes depend on its records alone: what another attempt has put there whole is the same file
+        if not is_there():
+            try:
+                self.fs.move(self.temporary, final)
+            except OSError:
+                if not is_there():
+                    raise
+        if self.fs.get_file_info(self.temporary).type != fs.FileType.NotFound:
+            self.fs.delete_file(self.temporary)
         self.part += 1
         return {"file": self.name, "shard": self.shard, "part": self.part - 1, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()}
 
 
+def _upto(borders: list[int], column: str) -> str:
+    """SQL: how many of the sorted borders are at most the column; two steps over their square root each."""
+    if not borders:
+        return "0"
+    n = max(1, math.isqrt(len(borders)))
+    rows = [borders[i : i + n] for i in range(0, len(borders), n)]
+
+    def count(values: str) -> str:
+        return f"size(filter({values}, b -> b <= {column}))"
+
+    fine = f"array({', '.join('array(' + ', '.join(f'{b}L' for b in row) + ')' for row in rows)})"
+    coarse = f"array({', '.join(f'{row[0]}L' for row in rows)})"
+    return f"coalesce(case when {count(coarse)} = 0 then 0 else ({count(coarse)} - 1) * {n} + {count(f'element_at({fine}, {count(coarse)})')} end, 0)"
+
+
 def _shards(sizes: DataFrame, shard_bytes: int):
-    """Column expression for the shard of a page_id, and the number of shards: cells of equal width
-    over the ids, joined in order until a shard's bytes are reached. Null ids come first."""
-    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
-    if low is None or low == high:
-        return F.lit(0), 1
-    cell = F.floor((F.col("page_id").cast("double") - low) / (float(high) - low + 1) * _CELLS).cast("int")
-    per_cell = {r["cell"]: r["b"] for r in sizes.where("page_id is not null").groupBy(cell.alias("cell")).agg(F.sum("payload_bytes").alias("b")).collect()}
-    shard, held, of = 0, 0, []
-    for c in range(_CELLS):
-        if held >= shard_bytes:
-            shard, held = shard + 1, 0
-        of.append(shard)
-        held += per_cell.get(c, 0) or 0
-    borders = [c for c in range(1, _CELLS) if of[c] != of[c - 1]]
-    expr = F.coalesce(F.expr(f"size(filter(array({', '.join(map(str, borders))}), b -> b <= cell))"), F.lit(0)) if borders else F.lit(0)
-    return (cell, expr), shard + 1
+    """Column expression for the shard of a row by its page_id and digest, and the number of shards.
+
+    Ranges of ids hold about as many rows each: their borders come from the SAMPLE rows with the least hashes. A range with
+    more bytes than a shard, as where one id repeats or there are more shards than ranges, is dealt to several by digest. Null ids come first."""
+    total = sizes.agg(F.sum("payload_bytes")).first()[0] or 0
+    ranges = min(_RANGES, -(-total // shard_bytes))
+    order = F.xxhash64("page_id", "digest")
+    ids = sorted(r["page_id"] for r in sizes.where("page_id is not null").orderBy(order, "page_id").limit(_SAMPLE).select("page_id").collect()) if ranges > 1 else []
+    borders = sorted({ids[len(ids) * i // ranges] for i in range(1, ranges)} - {ids[0]}) if ids else []
+    cell = F.expr(_upto(borders, "page_id"))
+    held = {r["cell"]: r["b"] for r in sizes.groupBy(cell.alias("cell")).agg(F.sum("payload_bytes").alias("b")).collect()}
+    parts = [max(1, -(-(held.get(c) or 0) // (2 * shard_bytes))) for c in range(len(borders) + 1)]
+    first = [sum(parts[:c]) for c in range(len(parts))]
+    start, many = (F.element_at(F.array(*map(F.lit, x)), cell + 1) for x in (first, parts))
+    return (start + F.pmod(F.xxhash64("digest"), many)).cast("int"), sum(parts)
 
 
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -147,8 +172,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) ->
     # who revisits whom travels as rows of its own, sorted before the page's: only one shuffle moves payloads
     notes = sizes.join(firsts, "digest").where("page_id is not null").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first_id").distinct()
     rows = notes.union(rows.select("page_id", "url", "html", "digest", F.lit(None).cast("long")))
-    rows = rows.withColumn("cell", shard[0]).withColumn("shard", shard[1]).drop("cell") if isinstance(shard, tuple) else rows.withColumn("shard", shard)
-    rows = rows.withColumn("shard", F.col("shard").cast("int"))
+    rows = rows.withColumn("shard", shard)
     dealt = rows.repartitionById(count, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("html").isNotNull(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +202,19 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) ->
         if roller:
             yield from told(roller.close())
 
-    return keep(dealt.select("shard", "page_id", "url", "html", "digest", "first_id").mapInArrow(run, _MANIFEST), "manifest")
+    manifest = keep(dealt.select("shard", "page_id", "url", "html", "digest", "first_id").mapInArrow(run, _MANIFEST), "manifest")
+    _sweep(folder)
+    return manifest
+
+
+def _sweep(folder: str) -> None:
+    """Delete what failed attempts have left, now that the manifest is written."""
+    from pyarrow import fs as pafs
+
+    fs, root = _filesystem(folder)
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith(".") and f.type == pafs.FileType.File:
+            fs.delete_file(f.path)
 
 
 def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
