@@ -1,5 +1,6 @@
 """Operators through Spark: brute force on small tables, and odd inputs."""
 
+import bisect
 import collections
 import hashlib
 import itertools
@@ -207,6 +208,23 @@ def test_warc_round_trip(spark, monkeypatch, tmp_path):
     assert not list(tmp_path.glob("a/.*"))
 
 
+def test_shards_of_skewed_ids(spark, monkeypatch, tmp_path):
+    borders = sorted(random.Random(3).sample(range(-50, 500), 40))
+    ids = [(i,) for i in range(-60, 510)] + [(None,)]
+    got = spark.createDataFrame(ids, "x long").selectExpr("x", f"{warc._upto(borders, 'x')} as n").collect()
+    assert all(r.n == (0 if r.x is None else bisect.bisect_right(borders, r.x)) for r in got)
+    # one id far off and one that holds a third of all rows
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    pages = [(i, "u", hashlib.sha256(b"%d" % i).hexdigest() * 10) for i in range(200)] + [(10**15, "u", "far " * 99)] + [(7, "u", hashlib.sha256(b"x%d" % i).hexdigest() * 10) for i in range(100)]
+    manifest = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/s", shard_bytes=10_000)
+    shards = collections.Counter()
+    for r in manifest.collect():
+        shards[r.shard] += r.records
+    assert sum(shards.values()) == len(pages) and len(shards) >= 10 and max(shards.values()) < 60
+    rows = warc.read_warc(manifest, f"file://{tmp_path}/s").collect()
+    assert sorted(r.payload_digest for r in rows) == sorted(hashlib.sha256(h.encode()).hexdigest() for _, _, h in pages)
+
+
 def test_secret_rows(spark):
     docs = ODD + [(2, 'api_key="abcd1234efgh"'), (3, "passwd = x")]
     rows = {r.doc_id: r for r in secrets.secret_spans(spark.createDataFrame([(*r, "z") for r in docs], DOC + ", spans string")).collect()}

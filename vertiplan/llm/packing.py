@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from ._store import keep, small_batches
 
 SIZE = 4096
-#: Parts into which the pieces of each length are dealt for their ranks.
-PARTS = 64
+#: Pieces that a part of a length holds at most on average, and least parts, by which ranks are dealt.
+PART_PIECES, PARTS = 100_000, 64
 #: Entries of a worker's cache from white-space-separated chunks of text to their tokens.
 CACHE = 300_000
 
@@ -123,8 +123,9 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \\t\
 class _Encoder:
     """Token ids of texts as little-endian bytes, equal to those of the vocabulary file.
 
-    No token spans a space, and normalisation does not reach across one, so texts are split there and
-    each distinct chunk is encoded once as long as the cache holds it. Latin-1 text is stable under
+    Under the splitting that is written out here no token spans a space, and normalisation does not reach across one, so
+    texts are split there and each distinct chunk is encoded once as long as the cache holds it; under any other
+    a text goes through the tokenizer as a whole. Latin-1 text is stable under
     NFC and lower-cases by character, so its chunks are split into words here and only the words go
     through the vocabulary's merges; any other text, and any that could hold a special token, goes
     through the whole tokenizer chunk by chunk.
@@ -156,7 +157,8 @@ class _Encoder:
         return out
 
     def ids(self, text: str) -> bytes:
-        text = text.replace("\n", " ")
+        if self.plain:
+            text = text.replace("\n", " ")
         short = self.plain and "<|" not in text
         if short:
             try:
@@ -177,6 +179,8 @@ class _Encoder:
             word = self._word
             for p in new:
                 cache[p] = b"".join([word(w) for w in _SPLIT.findall(p)])
+        elif not self.plain:  # its tokens may span spaces
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         else:
             parts, cache = text.split(" "), self.others
             new = [p for p in set(parts) if p not in cache]
@@ -197,12 +201,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = 1) -> Dat
     Only documents longer than ``size`` tokens are cut, into pieces of ``size`` and a last one. A
     null or empty text is the end token alone. Pieces of equal length are interchangeable; their
     ranks follow (doc_id, piece, crc), nulls first, within a part chosen by hash, so repeated rows
-    and a third of all rows in one length are dealt over ``PARTS`` tasks. Other columns are not read.
+    and a third of all rows in one length are dealt over as many parts as their number asks for. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     pieces = keep(token_pieces(docs, tokenizer, size, end), "pieces")
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)))
+    parts = max(PARTS, -(-pieces.count() // PART_PIECES))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.createDataFrame(
