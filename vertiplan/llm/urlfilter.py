@@ -37,6 +37,11 @@ def path_of(url: str) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def _path_words(path: str) -> Column:
+    """Runs of letters of any script in a path, lower-cased."""
+    return F.regexp_extract_all(F.lower(path), F.lit(r"([\p{L}\p{M}]+)"))
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """The longest fitting rule as struct(rule, verdict); null if none fits. For rule lists that are
     parameters of a query, not tables: one comparison each."""
@@ -89,7 +94,7 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     Other columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
-    counted = keep(rows.groupBy("host", F.regexp_extract_all(F.translate("path", _UPPER, _LOWER), F.lit("([a-z]+)")).alias("path_words")).agg(F.count("*").alias("n")), "urls")
+    counted = keep(rows.groupBy("host", _path_words("path").alias("path_words")).agg(F.count("*").alias("n")), "urls")
     # words that stand alone: in paths, and in host labels that hyphens divide
     labels = F.filter(F.split("host", r"\."), lambda x: x.contains("-"))
     alone = F.concat("path_words", F.flatten(F.transform(labels, lambda x: F.regexp_extract_all(x, F.lit("([a-z]+)")))))
@@ -127,7 +132,7 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), batch.column("words"), pa.array(odds, pa.float64())], ["page_id", "host", "path", "words", "log_odds"])
 
     own = rows.join(labelled.select("host", "host_words"), "host")
-    own = own.withColumn("words", F.concat("host_words", F.regexp_extract_all(F.translate("path", _UPPER, _LOWER), F.lit("([a-z]+)"))))
+    own = own.withColumn("words", F.concat("host_words", _path_words("path")))
     own = own.withColumn("buckets", F.transform("words", lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")))
     scored = own.select("page_id", "host", "path", "words", "buckets").mapInArrow(run, "page_id long, host string, path string, words array<string>, log_odds double")
     fits = rule_of(F.col("host"), F.col("path"), rules)
