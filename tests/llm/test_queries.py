@@ -370,3 +370,47 @@ def test_pipeline(spark, tmp_path):
     assert now.where("doc_id = 30").first().text.endswith(" [assign]")
     rows = corpus_pipeline.run(spark, d).collect()
     assert _check_packing(rows, 4096) == -(-sum(r.length for r in rows) // 4096) and len(rows) == len(seen[3])
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(40)
+    texts = [" ".join(_words(60, rng)) for _ in range(6)]
+    schema = "doc_id long, text string, lang string, n_chars long"
+    rows = [(1, texts[0]), (2, texts[1]), (7, texts[0]), (7, texts[2]), (8, texts[3]), (8, texts[3]), (9, texts[4]), (9, texts[4] + " more"), (None, texts[0]), (10, None), (10, ""), (11, "x"), (11, "x")]
+    docs = spark.createDataFrame([(i, t, "en", 0) for i, t in rows], schema)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in left if r.doc_id != 9) == collections.Counter([(1, texts[0]), (2, texts[1]), (7, texts[2]), (8, texts[3]), (None, texts[0]), (10, None), (10, ""), (11, "x")])
+    assert sum(r.doc_id == 9 for r in left) == 1  # two near copies under one id are one group
+    item = spark.createDataFrame([(1, texts[2])], "item_id long, text string")
+    assert [tuple(r)[:3] for r in decontaminate.contaminated(docs, item).collect()] == [(7, 1, 1.0)]
+    pieces = packing.pack(docs, TOKENIZER, 64).collect()
+    assert sum(r.doc_id == 7 and r.piece == 0 for r in pieces) == 2 and sum(r.doc_id is None and r.piece == 0 for r in pieces) == 1
+    _check_packing(pieces, 64)
+    vectors = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(vectors, 50, 1).collect()) == [(1, 1, 2 * 256 * 256), (1, 2, 3 * 256 * 256)]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_stage_tables_go(spark, tmp_path):
+    """What a stage has kept is deleted with its scope, what is taken off its list is not."""
+    import os
+
+    from vertiplan.llm import _store
+
+    with _store.scope(spark) as inner:
+        gone, (stays, seen) = _store.keep(spark.range(5), "gone"), _store.keep(spark.range(7), "stays", n=F.count("*"))
+        inner.remove(stays.kept_path)
+    assert seen["n"] == 7 and stays.count() == 7
+    assert not os.path.exists(gone.kept_path.removeprefix("file://")) and os.path.exists(stays.kept_path.removeprefix("file://"))
+    _store.drop(stays)
