@@ -253,32 +253,32 @@ def triangulate(points: np.ndarray) -> set[tuple[int, int]]:
         return {(0, 1)} if n == 2 else set()
     p = points - points.mean(axis=0)
     p = p / max(np.abs(p).max(), 1e-12)
-    p = np.vstack([p, [[-1e4, -1e4], [1e4, -1e4], [0, 1e4]]])
-    triangles: dict[tuple[int, int, int], tuple[float, float, float]] = {}
-
-    def circle(t: tuple[int, int, int]) -> tuple[float, float, float]:
-        (ax, ay), (bx, by), (cx, cy) = p[t[0]], p[t[1]], p[t[2]]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        if abs(d) < 1e-14:
-            return 0.0, 0.0, math.inf
-        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
-        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
-        return ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2
-
-    first = (n, n + 1, n + 2)
-    triangles[first] = circle(first)
+    p = np.vstack([p, [[-1e9, -1e9], [1e9, -1e9], [0, 1e9]]])
+    xy = [tuple(q) for q in p.tolist()]
+    triangles: set[tuple[int, int, int]] = set()  # counter-clockwise
+
+    def turned(a: int, b: int, c: int) -> tuple[int, int, int] | None:
+        (ax, ay), (bx, by), (cx, cy) = xy[a], xy[b], xy[c]
+        d = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        return None if d == 0 else (a, b, c) if d > 0 else (a, c, b)
+
+    def holds(t: tuple[int, int, int], x: float, y: float) -> bool:
+        """Whether a point is in the circle through a triangle: a determinant, exact enough for flat triangles too."""
+        (ax, ay), (bx, by), (cx, cy) = xy[t[0]], xy[t[1]], xy[t[2]]
+        ax, ay, bx, by, cx, cy = ax - x, ay - y, bx - x, by - y, cx - x, cy - y
+        a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+        return ax * (by * c2 - b2 * cy) - ay * (bx * c2 - b2 * cx) + a2 * (bx * cy - by * cx) > 0
+
+    triangles.add(turned(n, n + 1, n + 2))
     for i in range(n):
-        bad = [t for t, (ux, uy, r) in triangles.items() if (p[i, 0] - ux) ** 2 + (p[i, 1] - uy) ** 2 < r * (1 - 1e-12)]
+        bad = [t for t in triangles if holds(t, *xy[i])]
         edge: dict[tuple[int, int], int] = {}
         for t in bad:
             for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
                 edge[min(a, b), max(a, b)] = edge.get((min(a, b), max(a, b)), 0) + 1
-            del triangles[t]
-        for (a, b), times in edge.items():
-            if times == 1:
-                t = tuple(sorted((a, b, i)))
-                triangles[t] = circle(t)
-    found = {(a, b) for t in triangles for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])) if b < n}
+            triangles.discard(t)
+        triangles |= {t for (a, b), times in edge.items() if times == 1 and (t := turned(a, b, i))}
+    found = {(min(a, b), max(a, b)) for t in triangles for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])) if a < n and b < n}
     # flat triangles at the rim can lose to the outer corners, but the rim's edges are neighbours in any case
     order = sorted(range(n), key=lambda i: (p[i, 0], p[i, 1]))
     for way in (order, order[::-1]):

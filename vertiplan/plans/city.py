@@ -270,9 +270,12 @@ def _greedy_sql(n: int, km: float, apart: float) -> str:
     return ", ".join(parts)
 
 
-_CIRCLE = """tri as (select a.hotspot_id as cluster, a.site as a, b.site as b, c.site as c, a.lon as ax, a.lat as ay, b.lon - a.lon as bx, b.lat - a.lat as by_, c.lon - a.lon as cx, c.lat - a.lat as cy from site a join site b on b.hotspot_id = a.hotspot_id and b.site > a.site join site c on c.hotspot_id = a.hotspot_id and c.site > b.site),
-disc as (select *, (cy * (bx * bx + by_ * by_) - by_ * (cx * cx + cy * cy)) / (2 * (bx * cy - by_ * cx)) as ux, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by_ * by_)) / (2 * (bx * cy - by_ * cx)) as uy from tri where abs(bx * cy - by_ * cx) > 5e-13),
-face as (select cluster, a, b, c from disc t where not exists (select 1 from site s where s.hotspot_id = t.cluster and s.site <> t.a and s.site <> t.b and s.site <> t.c and pow(s.lon - t.ax - t.ux, 2) + pow(s.lat - t.ay - t.uy, 2) < (t.ux * t.ux + t.uy * t.uy) * (1 - 1e-9)))"""
+# a triangle belongs if no site is in the circle through its corners: a determinant whose sign follows the corners' turn
+_CIRCLE = """tri as (select a.hotspot_id as cluster, a.site as a, b.site as b, c.site as c, a.lon as ax, a.lat as ay, b.lon as bx, b.lat as by_, c.lon as cx, c.lat as cy,
+ (b.lon - a.lon) * (c.lat - a.lat) - (b.lat - a.lat) * (c.lon - a.lon) as turn from site a join site b on b.hotspot_id = a.hotspot_id and b.site > a.site join site c on c.hotspot_id = a.hotspot_id and c.site > b.site),
+seen as (select t.cluster, t.a, t.b, t.c, sign(turn) as way, ax - s.lon as px, ay - s.lat as py, bx - s.lon as qx, by_ - s.lat as qy, cx - s.lon as rx, cy - s.lat as ry from tri t join site s on s.hotspot_id = t.cluster and s.site <> t.a and s.site <> t.b and s.site <> t.c where abs(turn) > 5e-13),
+hit as (select distinct cluster, a, b, c from seen where way * (px * (qy * (rx * rx + ry * ry) - (qx * qx + qy * qy) * ry) - py * (qx * (rx * rx + ry * ry) - (qx * qx + qy * qy) * rx) + (px * px + py * py) * (qx * ry - qy * rx)) > 1e-21),
+face as (select cluster, a, b, c from tri anti join hit using (cluster, a, b, c) where abs(turn) > 5e-13)"""
 _SITE12 = "site as (select hotspot_id * 1000 + chunk as site, hotspot_id, round(avg(lon), 6) as lon, round(avg(lat), 6) as lat from (select *, cast(floor((row_number() over (partition by hotspot_id order by lon, lat, building_id) - 1) / 12) as bigint) as chunk from building) group by hotspot_id, chunk)"
 
 QUERIES = {
@@ -306,6 +309,21 @@ QUERIES = {
     "inter_cluster_detours": (inter_cluster_detours, None),
 }
 
+def _dbscan_sql(eps: float, least: int, latitude: float, rounds: int = 12) -> str:
+    """Density clusters by rounds of the least label near by, each followed by a jump to that label's own."""
+    parts = [f"pt as materialized (select building_id as id, lon * 111320.0e0 * cos(radians({latitude})) as x, lat * 111320.0e0 as y from building)",
+             f"cell as materialized (select *, cast(floor(x / {eps}) as bigint) as cx, cast(floor(y / {eps}) as bigint) as cy from pt)",
+             f"pr as materialized (select a.id as a, b.id as b from cell a, (values (-1), (0), (1)) i(i), (values (-1), (0), (1)) j(j), cell b where b.cx = a.cx + i.i and b.cy = a.cy + j.j and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {eps * eps})",
+             f"hub as materialized (select a as id from pr group by a having count(*) >= {least})",
+             "near_hub as materialized (select pr.a, pr.b from pr join hub p on p.id = a join hub q on q.id = b)",
+             "lab0 as materialized (select id, id as c from hub)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"low{i} as materialized (select a as id, min(c) as c from near_hub join lab{i - 1} l on l.id = b group by a)")
+        parts.append(f"lab{i} as materialized (select x.id, least(x.c, y.c) as c from low{i} x join low{i} y on y.id = x.c)")
+    body = f"select pt.id as point_id, coalesce(l.c, m.c) as cluster, l.id is not null as core from pt left join lab{rounds} l on l.id = pt.id left join (select a, min(c) as c from pr join lab{rounds} on lab{rounds}.id = b where a not in (select id from hub) group by a) m on m.a = pt.id"
+    return sql(body, "building", *parts)
+
+
 #: SQL of queries that stand elsewhere without it.
 SQL = {
     "utm_project": sql(f"select building_id, 32637 as epsg, round({_X}, 3) as x, round({_Y}, 3) as y from building", "building"),
@@ -316,6 +334,7 @@ SQL = {
     "place_facilities": sql("select cast(row_number() over () as integer) as step, candidate, round(gain, 3) as gain from got6", *W._D, _greedy_sql(6, W.FACILITY_KM, W.SEPARATION_KM)),
     "mst": "with recursive " + ", ".join([S.CTES["hotspot"], W._NEAR, C.tree_sql("select a, b, round(km, 6) as weight from near where km <= 6")]) + " select a, b, weight from tree",
     "repacked_regions": C.staged("select cluster, region from region"),
+    "dbscan_regions": _dbscan_sql(1080.0, 30, 55.4),
     "geojson_points": sql("""select hotspot_id, concat('{"type":"Feature","geometry":{"type":"Point","coordinates":[', round(lon, 6), ',', round(lat, 6), ']},"properties":{"hotspot_id":', hotspot_id, '}}') as feature from hotspot""", "hotspot"),
     "voronoi_edges": sql("select distinct cluster, x as a, y as b from (select cluster, a as x, b as y from face union all select cluster, b, c from face union all select cluster, a, c from face)", "building", _SITE12, _CIRCLE),
     "utm_round_trip": sql("select building_id, true as back, round(lon, 4) as lon, round(lat, 4) as lat from building", "building"),
