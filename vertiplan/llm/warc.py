@@ -27,8 +27,8 @@ LEAST_REVISIT = 100
 #: Payload bytes of a shard, and compressed bytes at which a file is closed.
 SHARD_BYTES = 32_000_000
 FILE_BYTES = 8_000_000
-#: Ranges of ids at most, and rows that their borders are taken from.
-_RANGES, _SAMPLE = 4096, 65_536
+#: Ranges of ids at most, and rows a range that their borders are taken from.
+_RANGES, _SAMPLE = 4096, 16
 _MANIFEST = "file string, shard int, part int, records long, bytes long, sha256 string"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -138,12 +138,12 @@ def _upto(borders: list[int], column: str) -> str:
 def _shards(sizes: DataFrame, shard_bytes: int):
     """Column expression for the shard of a row by its page_id and digest, and the number of shards.
 
-    Ranges of ids hold about as many rows each: their borders come from the SAMPLE rows with the least hashes. A range with
-    more bytes than a shard, as where one id repeats or there are more shards than ranges, is dealt to several by digest. Null ids come first."""
+    Ranges of ids hold about as many rows each: their borders come from the rows with the least hashes, _SAMPLE a
+    range. A range with more bytes than a shard, as where one id repeats or there are more shards than ranges, is dealt to several by digest. Null ids come first."""
     total = sizes.agg(F.sum("payload_bytes")).first()[0] or 0
     ranges = min(_RANGES, -(-total // shard_bytes))
     order = F.xxhash64("page_id", "digest")
-    ids = sorted(r["page_id"] for r in sizes.where("page_id is not null").orderBy(order, "page_id").limit(_SAMPLE).select("page_id").collect()) if ranges > 1 else []
+    ids = sorted(r["page_id"] for r in sizes.where("page_id is not null").orderBy(order, "page_id").limit(_SAMPLE * ranges).select("page_id").collect()) if ranges > 1 else []
     borders = sorted({ids[len(ids) * i // ranges] for i in range(1, ranges)} - {ids[0]}) if ids else []
     cell = F.expr(_upto(borders, "page_id"))
     held = {r["cell"]: r["b"] for r in sizes.groupBy(cell.alias("cell")).agg(F.sum("payload_bytes").alias("b")).collect()}
