@@ -292,6 +292,13 @@ def test_repeated_passages_like_brute_force(spark):
     assert shared
 
 
+def test_passages_over_many_buckets(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    few = sorted(map(tuple, substrings.repeated_passages(docs).collect()))
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 10)
+    assert few and sorted(map(tuple, substrings.repeated_passages(docs).collect())) == few
+
+
 def test_passages_of_repeated_ids(spark):
     rng = random.Random(31)
     long, other = _words(120, rng), _words(80, rng)
