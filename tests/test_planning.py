@@ -278,3 +278,19 @@ def test_exact_sums(spark):
     rows = [0.1] * 5 + [1.2, 1.5, 0.29, 0.01, 4.7] * 7
     got = {spark.createDataFrame([(x,) for x in order], "x double").coalesce(1).agg(G.exact_sum(F.col("x"))).first()[0] for order in (rows, rows[::-1], sorted(rows))}
     assert got == {54.4} and len(set(itertools.accumulate(rows)) & {54.4}) == 0
+
+
+def test_faces_of_points_on_circles():
+    rng = random.Random(5)
+    # a lattice has four points on most circles; all pairs of such a four are neighbours
+    for points in ([(i, j) for i in range(4) for j in range(3)], [(rng.randrange(40), rng.randrange(40)) for _ in range(25)], [(i, 0) for i in range(5)] + [(2, 7)], [(i, i) for i in range(4)]):
+        p = list(dict.fromkeys(points))
+        want = set()
+        for t in itertools.combinations(range(len(p)), 3):
+            (ax, ay), (bx, by), (cx, cy) = (p[i] for i in t)
+            way = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+            rows = [[(ax - x, ay - y), (bx - x, by - y), (cx - x, cy - y)] for k, (x, y) in enumerate(p) if k not in t]
+            inside = [way * (q[0] * (r[1] * (s[0] ** 2 + s[1] ** 2) - (r[0] ** 2 + r[1] ** 2) * s[1]) - q[1] * (r[0] * (s[0] ** 2 + s[1] ** 2) - (r[0] ** 2 + r[1] ** 2) * s[0]) + (q[0] ** 2 + q[1] ** 2) * (r[0] * s[1] - r[1] * s[0])) > 0 for q, r, s in rows]
+            if way and not any(inside):
+                want.add(t)
+        assert O.faces(np.array(p, float)) == want and O.faces(np.array(p, float), most=7) == want
