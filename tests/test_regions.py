@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,25 @@ def test_stream(spark, tmp_path):
     q = windowed_demand(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), late="3650 days").writeStream.format("memory").queryName("demand").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("demand").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_packing_takes_the_nearest_of_those_left():
+    rng = np.random.default_rng(3)
+    lattice = np.array([(36.8 + i * 0.04, 55.2 + j * 0.03) for i in range(32) for j in range(40)])
+    over_pole = np.stack([rng.uniform(36, 37, 400), rng.uniform(80, 100, 400)], axis=1)
+    for p in (lattice, rng.normal(size=(700, 2)) * [0.1, 0.05] + [37, 55], over_pole, np.repeat(lattice[:9], 30, axis=0), lattice[:3]):
+        ids, (lon, lat) = rng.permutation(len(p)), np.radians(p).T
+        want, free = np.full(len(p), -1), list(range(len(p)))
+        for r in range(len(p)):
+            if not free:
+                break
+            f, i = np.array(free), free[0]
+            a = np.sin((lat[f] - lat[i]) / 2) ** 2 + np.cos(lat[f]) * np.cos(lat[i]) * np.sin((lon[f] - lon[i]) / 2) ** 2
+            want[f[np.lexsort((ids[f], np.round(a, 15)))[:5]]] = r
+            free = [k for k in free if want[k] < 0]
+        assert (R.packed(ids, p[:, 0], p[:, 1], 5) == want).all()
+
+
+def test_a_city_of_more_clusters_than_before(spark):
+    c = spark.range(50_001).selectExpr("id as cluster", "cast(id % 977 as double) as weight", "36.8e0 + id % 32 * 0.04e0 as lon", "20 + floor(id / 32) * 0.03e0 as lat")
+    assert R.repack(c).groupBy("region").count().groupBy("count").count().count() == 2

@@ -59,21 +59,52 @@ def principal_regions(points: DataFrame, key: str) -> DataFrame:
     return along.join(F.broadcast(q)).select(key, F.expr("size(filter(sequence(1, k - 1), i -> q[cast(840 / k as int) * i] <= t))").alias("region"))
 
 
-def repack(clusters: DataFrame, size: int = 5, most: int = 50_000) -> DataFrame:
+def packed(cluster: np.ndarray, lon: np.ndarray, lat: np.ndarray, size: int) -> np.ndarray:
+    """Region numbers of places in their order of precedence: the first without one takes the ``size - 1`` nearest without
+    one (ties to the smaller cluster), and so on. Free places lie in cubes in space, dealt anew when half of them are
+    taken, and cubes are searched around a place until nothing nearer can lie outside."""
+    lon, lat = np.radians(lon), np.radians(lat)
+    place = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+    region, free, left, regions = np.full(len(cluster), -1), np.empty(0, int), len(cluster), 0
+    cubes: dict[tuple[int, int, int], np.ndarray] = {}
+    side = 1.0
+    for i in range(len(cluster)):
+        if region[i] >= 0:
+            continue
+        if 2 * left <= len(free) or not len(free):
+            free = np.flatnonzero(region < 0)
+            side = max(1e-9, float(np.ptp(place[free], axis=0).max()) / max(1.0, math.sqrt(len(free) / 4)))
+            at = np.floor(place[free] / side).astype(int)
+            order = np.lexsort(at.T)
+            cuts = np.flatnonzero(np.any(np.diff(at[order], axis=0) != 0, axis=1)) + 1
+            cubes = {tuple(at[part[0]].tolist()): free[part] for part in np.split(order, cuts)}
+        x, y, z = np.floor(place[i] / side).astype(int).tolist()
+        reach, near = 1, None
+        while near is None:
+            steps = range(-reach, reach + 1)
+            if len(steps) ** 3 > len(cubes):
+                found, least = free, math.inf
+            else:
+                parts = [c for dx in steps for dy in steps for dz in steps if (c := cubes.get((x + dx, y + dy, z + dz))) is not None]
+                found, least = np.concatenate(parts), (reach * side) ** 2 / 4 * (1 - 1e-9) - 2e-15
+            found = found[region[found] < 0]
+            a = np.sin((lat[found] - lat[i]) / 2) ** 2 + np.cos(lat[found]) * np.cos(lat[i]) * np.sin((lon[found] - lon[i]) / 2) ** 2
+            if least == math.inf or np.count_nonzero(a < least) >= size:
+                near = found[np.lexsort((cluster[found], np.round(a, 15)))[:size]]
+            reach += 1
+        region[near] = regions
+        regions += 1
+        left -= len(near)
+    return region
+
+
+def repack(clusters: DataFrame, size: int = 5) -> DataFrame:
     """clusters (cluster, weight, lon, lat) -> (cluster, region): the heaviest cluster without a region takes the
-    ``size - 1`` nearest without one, and so on. A sequence over the clusters of one city, at most ``most``, in one task."""
-    if (n := clusters.count()) > most:
-        raise ValueError(f"{n} clusters; regions are packed for at most {most}")
+    ``size - 1`` nearest without one, and so on. A sequence over the clusters of one city, in one task."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["weight", "cluster"], ascending=[False, True]).reset_index(drop=True)
-        lon, lat = np.radians(f["lon"].to_numpy()), np.radians(f["lat"].to_numpy())
-        region = np.full(len(f), -1)
-        for i in range(len(f)):
-            if region[i] < 0:
-                free = np.flatnonzero(region < 0)
-                a = np.sin((lat[free] - lat[i]) / 2) ** 2 + np.cos(lat[free]) * np.cos(lat[i]) * np.sin((lon[free] - lon[i]) / 2) ** 2
-                region[free[np.lexsort((f["cluster"].to_numpy()[free], np.round(a, 15)))[:size]]] = region.max() + 1
+        f = f.sort_values(["weight", "cluster"], ascending=[False, True])
+        region = packed(f["cluster"].to_numpy(), f["lon"].to_numpy(), f["lat"].to_numpy(), size)
         return pd.DataFrame({"cluster": f["cluster"], "region": [f"nearest_{r}" for r in region]})
 
     return clusters.select("cluster", "weight", "lon", "lat").withColumn("city", F.lit(0)).groupBy("city").applyInPandas(run, "cluster long, region string")
