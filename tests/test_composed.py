@@ -304,3 +304,11 @@ def test_placement_layers(spark):
     assert layers["metrics"].first().connected
     routes = queries.queries()["local_routes_clear"](spark, SMALL).collect()
     assert all(r.clear for r in routes)
+
+
+def test_routes_over_the_pole_meet_obstacles(spark):
+    box = [(0.01, 89.999), (0.02, 89.999), (0.02, 90.001), (0.01, 90.001)]
+    rings = spark.createDataFrame([(1, box), (2, [(x, y + 3) for x, y in box])], "ring_id long, ring array<struct<x:double,y:double>>")
+    rows = [(1, 0.0, 90.0, 0.03, 90.0), (2, 0.0, 93.0, 0.03, 93.0)]
+    got = Z.routed(spark.createDataFrame(rows, "edge long, ax double, ay double, bx double, by double"), rings, "edge").collect()
+    assert {r.status for r in got} <= {"boundary", "lattice"}

@@ -342,7 +342,8 @@ def routed(requests: DataFrame, rings: DataFrame, key: str, lattice: bool = True
         for f in frames:
             out = []
             for k, ax, ay, bx, by, found in zip(f[key], f["ax"], f["ay"], f["bx"], f["by"], f["rings"], strict=True):
-                per_lon = METRES_PER_DEGREE * math.cos(math.radians((ay + by) / 2))
+                # at a pole the plane would have no width
+                per_lon = METRES_PER_DEGREE * max(0.01, abs(math.cos(math.radians((ay + by) / 2))))
                 obstacles = Obstacles([[(p["x"] * per_lon, p["y"] * METRES_PER_DEGREE) for p in r["ring"]] for r in found])
                 status, path = route(obstacles, (ax * per_lon, ay * METRES_PER_DEGREE), (bx * per_lon, by * METRES_PER_DEGREE), lattice)
                 ends = {0: (ax, ay), len(path or ()) - 1: (bx, by)}
