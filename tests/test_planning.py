@@ -294,3 +294,34 @@ def test_faces_of_points_on_circles():
             if way and not any(inside):
                 want.add(t)
         assert O.faces(np.array(p, float)) == want and O.faces(np.array(p, float), most=7) == want
+
+
+def test_networks_take_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(N, "HELD", 300)  # so that a task folds often
+    rng = random.Random(4)
+    edges = list({(a, b) for a, b in ((rng.randrange(900), rng.randrange(900)) for _ in range(1100)) if a != b}) + [(i, i + 1) for i in range(1000, 1600)]
+    nodes, near = spark.range(1700).withColumnRenamed("id", "node"), [[] for _ in range(1700)]
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    want = {}
+    for s in range(1700):
+        todo = [] if s in want else [s]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = s
+                todo += near[x]
+    df = spark.createDataFrame([(a, b, float(rng.randint(1, 9))) for a, b in edges], "a long, b long, weight double")
+    spark.sparkContext.setJobGroup("networks", "")
+    assert {r.node: r.component for r in N.components(nodes, df.repartition(7)).collect()} == want
+    forest = N.spanning_forest(nodes, df.repartition(7))
+    assert forest.count() == 1700 - len(set(want.values())) and {r.node: r.component for r in N.components(nodes, forest).collect()} == want
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("networks"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 25
+
+
+def test_complete_graph_of_many_stations(spark):
+    s = spark.range(3100).selectExpr("id", "37 + id * 1e-4 as lon", "cast(55 as double) as lat")
+    assert N.all_pairs(s, "id").count() == 3100 * 3099 // 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,42 +13,85 @@ from vertiplan.functions.geo import haversine_km
 from vertiplan.session import checkpointed
 
 
+#: Edges that a task holds beside a forest before it folds them into it.
+HELD = 1_000_000
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node reachable from each of ``n`` over edges: roots go under smaller ones beside them, at least half each round."""
+    root = np.arange(n)
+    while len(a):
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        a, b = lo[lo != hi], hi[lo != hi]
+        np.minimum.at(root, b, a)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Row numbers of the minimum spanning forest of edges in order of (w, a, b), by Boruvka's rounds."""
+    ids, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    order = np.lexsort((b, a, w))
+    x, y, rank = ends[: len(a)][order], ends[len(a) :][order], np.arange(len(a))
+    root, chosen = np.arange(len(ids)), []
+    while len(rank):
+        ra, rb = root[x[rank]], root[y[rank]]
+        rank, ra, rb = rank[ra != rb], ra[ra != rb], rb[ra != rb]
+        best = np.full(len(ids), len(a))
+        np.minimum.at(best, ra, rank)
+        np.minimum.at(best, rb, rank)
+        new = np.unique(best[best < len(a)])
+        chosen.append(new)
+        root = _roots(len(ids), root[x[new]], root[y[new]])[root]
+    return order[np.concatenate([np.empty(0, int), *chosen])]
+
+
+def _folded(frames, fold):
+    """Rows of frames, folded whenever as many as are kept or ``HELD`` have come."""
+    held, size, kept = [], 0, 0
+    for f in frames:
+        held.append(f)
+        size += len(f)
+        if size > kept + max(kept, HELD):
+            held = [fold(pd.concat(held, ignore_index=True))]
+            size = kept = len(held[0])
+    if held:
+        yield fold(pd.concat(held, ignore_index=True))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (node), edges (a, b) -> (node, component): the least node reachable.
 
-    Labels spread to neighbours and then jump to their label's label, so the number of rounds grows
-    with the logarithm of a component's diameter; every round is a checkpoint.
+    Every task folds its edges into one from each node to the least of its part, and one task folds these: it
+    holds the nodes that have edges, never the edges.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    now = checkpointed(nodes.select("node", F.col("node").alias("component")))
-    while True:
-        label = now.select(F.col("node").alias("b"), F.col("component").alias("other"))
-        near = both.join(label, "b").groupBy("a").agg(F.min("other").alias("least")).withColumnRenamed("a", "node")
-        spread = now.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("least", "component")).alias("to"))
-        jump = spread.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        after = checkpointed(spread.join(jump, "to", "left").select("node", "component", F.least("to", F.coalesce("next", "to")).alias("after")))
-        if after.where("after <> component").isEmpty():
-            return now
-        now = checkpointed(after.select("node", F.col("after").alias("component")))
+
+    def stars(f: pd.DataFrame) -> pd.DataFrame:
+        ids, ends = np.unique(f[["a", "b"]].to_numpy().T, return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        root = _roots(len(ids), a, b)
+        keep = root != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[keep], "b": ids[root[keep]]})
+
+    ends = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInPandas(lambda x: _folded(x, stars), "a long, b long")
+    label = checkpointed(ends.repartition(1).mapInPandas(lambda x: _folded(x, stars), "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("component")))
+    return nodes.select("node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """edges (a, b, weight) -> the minimum spanning forest's edges, ties by (weight, a, b).
 
-    Boruvka: every component takes its least edge to another; the components at least halve each round.
+    An edge that is not in the forest of some edges is not in that of all: every task keeps the forest of its own edges, and
+    one task that of these; it holds as many edges as there are nodes, never all.
     """
-    edges = checkpointed(edges.selectExpr("least(a, b) as a", "greatest(a, b) as b", "weight").where("a <> b").groupBy("a", "b").agg(F.min("weight").alias("weight")))
-    chosen = edges.limit(0)
-    while True:
-        label = components(nodes, chosen)
-        la = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        lb = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        across = edges.join(la, "a").join(lb, "b").where("ca <> cb")
-        least = across.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("weight", "a", "b").alias("e")).groupBy("c").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.weight").distinct()
-        least = checkpointed(least)
-        if least.isEmpty():
-            return chosen
-        chosen = checkpointed(chosen.unionByName(least).distinct())
+
+    def fold(f: pd.DataFrame) -> pd.DataFrame:
+        return f.iloc[_forest(f["a"].to_numpy(), f["b"].to_numpy(), f["weight"].to_numpy())]
+
+    e = edges.selectExpr("cast(least(a, b) as long) as a", "cast(greatest(a, b) as long) as b", "cast(weight as double) as weight").where("a <> b")
+    e = e.mapInPandas(lambda x: _folded(x, fold), "a long, b long, weight double")
+    return checkpointed(e.repartition(1).mapInPandas(lambda x: _folded(x, fold), "a long, b long, weight double"))
 
 
 def dbscan(points: DataFrame, eps_m: float, least: int, latitude: float) -> DataFrame:
@@ -87,12 +131,10 @@ def dbscan(points: DataFrame, eps_m: float, least: int, latitude: float) -> Data
     return points.select("point_id").join(out, "point_id", "left").select("point_id", "cluster", F.coalesce("core", F.lit(False)).alias("core"))
 
 
-def all_pairs(nodes: DataFrame, key: str, most: int = 3000) -> DataFrame:
-    """(a, b, weight) of all pairs of the stations (key, lon, lat) of one city, at most ``most``, checked. The pairs are the
-    result; both ends are dealt to blocks, which meet in a join."""
-    if (n := nodes.count()) > most:
-        raise ValueError(f"{n} stations; a complete graph is for at most {most}")
-    k = max(1, -(-n // 256))
+def all_pairs(nodes: DataFrame, key: str) -> DataFrame:
+    """(a, b, weight) of all pairs of the stations (key, lon, lat) of one city. The pairs are the result; both ends are
+    dealt to blocks, which meet in a join."""
+    k = max(1, -(-nodes.count() // 256))
     rows = nodes.select(F.col(key).alias("id"), "lon", "lat").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     a = rows.select(F.col("id").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("own").alias("i"), F.col("other").alias("j"))
     b = rows.select(F.col("id").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"), F.col("other").alias("i"), F.col("own").alias("j"))
@@ -126,8 +168,6 @@ def shortest_paths(requests: DataFrame, nodes: DataFrame, edges: DataFrame, most
     nodes (node, lon, lat), edges (a, b, weight): a grid of at most ``most_nodes``, checked, which every
     task receives; requests are spread over tasks.
     """
-    import numpy as np
-
     if (n := nodes.count()) > most_nodes:
         raise ValueError(f"{n} nodes; a grid for path search has at most {most_nodes}")
     where = {r["node"]: (r["lon"], r["lat"]) for r in nodes.select("node", "lon", "lat").collect()}
