@@ -102,3 +102,11 @@ def test_packing_takes_the_nearest_of_those_left():
 def test_a_city_of_more_clusters_than_before(spark):
     c = spark.range(50_001).selectExpr("id as cluster", "cast(id % 977 as double) as weight", "36.8e0 + id % 32 * 0.04e0 as lon", "20 + floor(id / 32) * 0.03e0 as lat")
     assert R.repack(c).groupBy("region").count().groupBy("count").count().count() == 2
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rounds_of_a_matching_equal_one_task(spark, seed):
+    rng = random.Random(seed)
+    edges = spark.createDataFrame([(a, b, float(rng.randint(1, 5))) for a, b in itertools.combinations(range(12), 2) if rng.random() < 0.6], "a long, b long, weight double")
+    got = [sorted((r.a, r.b) for r in R.matching(edges, 2, n).collect()) for n in (0, 20, 1000)]
+    assert got[0] == got[1] == got[2]

@@ -31,12 +31,23 @@ def claim(pairs: DataFrame, n: int) -> DataFrame:
         left = checkpointed(left.join(refused, ["cluster", "candidate"], "left_anti"))
 
 
-def matching(edges: DataFrame, most: int) -> DataFrame:
+def matching(edges: DataFrame, most: int, one_task: int = 2_000_000) -> DataFrame:
     """edges (a, b, weight) -> those that a pass in order of (weight, a, b) adds while both ends have fewer than
-    ``most``. An edge that comes before all others of both its ends is added in any case, so each round
-    adds all of these at once."""
+    ``most``. Up to ``one_task`` edges are passed in one task. Of more, parallel rounds come to the same: an edge that comes before
+    all others of both its ends is added in any case, so each round adds all of these at once."""
     left, chosen = checkpointed(edges.select("a", "b", "weight")), None
-    while not left.isEmpty():
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["weight", "a", "b"]).drop_duplicates(["a", "b"])
+        have: dict[int, int] = {}
+        kept = []
+        for i, (a, b) in enumerate(zip(f["a"].tolist(), f["b"].tolist())):
+            if have.get(a, 0) < most and have.get(b, 0) < most:
+                have[a], have[b] = have.get(a, 0) + 1, have.get(b, 0) + 1
+                kept.append(i)
+        return f.iloc[kept][["a", "b", "weight"]]
+
+    while (n := left.count()) > (one_task if chosen is None else 0):
         ends = left.select("a", "b", "weight", F.explode(F.array("a", "b")).alias("node"))
         first = ends.groupBy("node").agg(F.min(F.struct("weight", "a", "b")).alias("e"))
         both = checkpointed(first.groupBy("e").count().where("count = 2").select("e.a", "e.b", "e.weight"))
@@ -45,7 +56,9 @@ def matching(edges: DataFrame, most: int) -> DataFrame:
         rest = left.join(both.select("a", "b"), ["a", "b"], "left_anti")
         rest = rest.join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
         left = checkpointed(rest.select("a", "b", "weight"))
-    return chosen if chosen is not None else left
+    if chosen is None:
+        return checkpointed(left.withColumn("city", F.lit(0)).groupBy("city").applyInPandas(run, left.schema)) if n else left
+    return chosen
 
 
 def principal_regions(points: DataFrame, key: str) -> DataFrame:
