@@ -312,3 +312,20 @@ def test_routes_over_the_pole_meet_obstacles(spark):
     rows = [(1, 0.0, 90.0, 0.03, 90.0), (2, 0.0, 93.0, 0.03, 93.0)]
     got = Z.routed(spark.createDataFrame(rows, "edge long, ax double, ay double, bx double, by double"), rings, "edge").collect()
     assert {r.status for r in got} <= {"boundary", "lattice"}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_many_greedy_picks(spark, seed):
+    rng = random.Random(seed)
+    c, d = _points(rng, 150, spread=0.2), [(i, x, y, rng.randint(1, 300) / 10) for i, x, y in _points(rng, 200, spread=0.2)]
+    want, covered = [], set()
+    for step in range(1, 81):
+        rest = [p for p in c if p[0] not in [w[1] for w in want]]
+        far = [p for p in rest if all(_km(p[1:], c[w[1]][1:]) >= 1.0 for w in want)]
+        gain = {p[0]: round(sum(w for i, x, y, w in d if i not in covered and _km(p[1:], (x, y)) <= 2.0), 6) for p in far or rest}
+        best = min(gain, key=lambda i: (-gain[i], i))
+        want.append((step, best, round(gain[best], 3)))
+        covered |= {i for i, x, y, _ in d if _km(c[best][1:], (x, y)) <= 2.0}
+    candidates, demand = spark.createDataFrame(c, "candidate long, lon double, lat double"), spark.createDataFrame(d, "demand long, lon double, lat double, weight double")
+    assert [tuple(r) for r in O.place_n(candidates, demand, 80, 2.0, 1.0).orderBy("step").collect()] == want
+    assert [tuple(r) for r in O.place_n(candidates, demand, 5, 2.0, 1.0, one_task=0).orderBy("step").collect()] == want[:5]
