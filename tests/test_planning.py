@@ -325,3 +325,33 @@ def test_networks_take_few_jobs(spark, monkeypatch):
 def test_complete_graph_of_many_stations(spark):
     s = spark.range(3100).selectExpr("id", "37 + id * 1e-4 as lon", "cast(55 as double) as lat")
     assert N.all_pairs(s, "id").count() == 3100 * 3099 // 2
+
+
+def test_a_tight_assignment_of_a_city_in_seconds():
+    import time
+
+    # a lattice in which every station has to be full: long chains of moves
+    rng = random.Random(1)
+    a = [(i, rng.uniform(0, 30), rng.uniform(0, 30)) for i in range(500)]
+    costs = {}
+    for b in range(2000):
+        x, y = rng.uniform(0, 30), rng.uniform(0, 30)
+        for d, i in sorted((math.hypot(x - p, y - q), i) for i, p, q in a)[:6]:
+            costs[b, i] = int(1e6 * d)
+    began = time.process_time()
+    of = O.min_cost(costs, 4)
+    assert time.process_time() - began < 30 and len(of) == 2000
+    # no chain of moves makes it cheaper: potentials prove it, here by relaxing until nothing changes
+    held = {}
+    for b, i in of.items():
+        held.setdefault(i, set()).add(b)
+    low = {i: 0 if len(held.get(i, ())) < 4 else O._OVERFLOW for i, _, _ in a}
+    moves = [(of[b], i, c - costs[b, of[b]]) for (b, i), c in costs.items() if i != of[b]]
+    for _ in range(600):
+        changed = False
+        for i, j, c in moves:
+            if c + low[j] < low[i]:
+                low[i], changed = c + low[j], True
+        if not changed:
+            break
+    assert not changed and all(low[i] >= (0 if len(h) <= 4 else O._OVERFLOW) for i, h in held.items())
