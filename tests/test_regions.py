@@ -110,3 +110,11 @@ def test_rounds_of_a_matching_equal_one_task(spark, seed):
     edges = spark.createDataFrame([(a, b, float(rng.randint(1, 5))) for a, b in itertools.combinations(range(12), 2) if rng.random() < 0.6], "a long, b long, weight double")
     got = [sorted((r.a, r.b) for r in R.matching(edges, 2, n).collect()) for n in (0, 20, 1000)]
     assert got[0] == got[1] == got[2]
+
+
+def test_claims_move_the_pairs_once(spark, monkeypatch):
+    monkeypatch.setattr(R, "checkpointed", lambda df: pytest.fail("pairs are written again"))
+    # every cluster wants what the one before it took: a chain of as many rounds as clusters
+    pairs = spark.range(60).selectExpr("id as cluster", "explode(sequence(id, id + 3)) as candidate").selectExpr("cluster", "candidate", "cast(candidate - cluster as double) as km")
+    got = sorted((r.cluster, r.candidate) for r in R.claim(pairs.repartition(5), 2).collect())
+    assert got[:4] == [(0, 0), (0, 1), (1, 2), (1, 3)] and len({x for _, x in got}) == len(got) == 63

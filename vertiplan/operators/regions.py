@@ -17,18 +17,26 @@ def claim(pairs: DataFrame, n: int) -> DataFrame:
     """pairs (cluster, candidate, km) -> those that remain when every cluster in order of its id takes its n
     nearest candidates that none before it took (ties to the smaller candidate).
 
-    Taking turns equals deferred acceptance where each candidate prefers the first cluster: all clusters
-    ask for their n nearest at once, candidates keep the first that asks, and the refused ask on.
+    Clusters take their turns in one task, which reads the pairs in this order and holds only what is taken: the pairs
+    are moved once and never written again.
     """
-    left = checkpointed(pairs.select("cluster", "candidate", "km"))
-    order = Window.partitionBy("cluster").orderBy("km", "candidate")
-    while True:
-        asked = left.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
-        first = asked.groupBy("candidate").agg(F.min("cluster").alias("holder"))
-        refused = checkpointed(asked.join(first, "candidate").where("cluster <> holder").select("cluster", "candidate"))
-        if refused.isEmpty():
-            return asked
-        left = checkpointed(left.join(refused, ["cluster", "candidate"], "left_anti"))
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+
+    def run(frames):
+        taken: set = set()
+        now, left = None, 0
+        for f in frames:
+            kept = []
+            for i, (cluster, candidate) in enumerate(zip(f["cluster"].tolist(), f["candidate"].tolist())):
+                if cluster != now:
+                    now, left = cluster, n
+                if left and candidate not in taken:
+                    taken.add(candidate)
+                    left -= 1
+                    kept.append(i)
+            yield f.iloc[kept]
+
+    return pairs.select("cluster", "candidate", "km").repartition(1).sortWithinPartitions("cluster", "km", "candidate").mapInPandas(run, f"cluster {kinds['cluster']}, candidate {kinds['candidate']}, km {kinds['km']}")
 
 
 def matching(edges: DataFrame, most: int, one_task: int = 2_000_000) -> DataFrame:
