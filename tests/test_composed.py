@@ -275,6 +275,27 @@ def test_trunks(spark):
         composed.trunk_of(a, "star")
 
 
+def test_trunk_of_all_pairs_without_them(spark, monkeypatch):
+    """Stations in far parts, on a lattice with many equal distances, over a pole and in one place."""
+    rng = random.Random(5)
+    places = [(36.8 + 0.05 * (i % 6), 55.2 + 0.03 * (i // 6)) for i in range(36)]
+    places += [(-120 + rng.random(), 10 + rng.random()) for _ in range(15)] + [(10 + 90.0 * i, 89.97) for i in range(4)] + [(150.0, -40.0)] * 3
+    a = spark.createDataFrame([(3 * i, *p) for i, p in enumerate(places)], "a long, lon double, lat double").repartition(5)
+    pairs = N.all_pairs(a, "a")
+    want = {tuple(r) for r in N.spanning_forest(a.select(F.col("a").alias("node")), pairs).collect()}
+    near = {tuple(r) for r in pairs.where("weight <= 3.5").collect()}
+
+    def made(*_):
+        raise AssertionError("all pairs are made")
+
+    monkeypatch.setattr(N, "all_pairs", made)
+    got = composed.trunk_of(a, extra=2, most_km=3.5).collect()
+    assert {(r.a, r.b, r.weight) for r in got if not r.extra} == want and len(want) == len(places) - 1
+    assert {(r.a, r.b, r.weight) for r in got if r.extra} <= near - want
+    assert composed.trunk_of(a.limit(1)).count() == composed.trunk_of(a.limit(0)).count() == 0
+
+
+
 def test_neighbours_by_tiles_are_those_of_the_whole(spark):
     rng = random.Random(8)
     p = [(i, i % 4, 36.8 + rng.uniform(0, 0.3), 55.3 + rng.uniform(0, 0.3)) for i in range(400)]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertiplan.functions.geo import haversine_km
+from vertiplan.operators import spatial as J
 from vertiplan.session import checkpointed
 
 
@@ -141,6 +142,32 @@ def all_pairs(nodes: DataFrame, key: str) -> DataFrame:
     return a.join(b, ["i", "j"]).where("a < b").select("a", "b", F.round(haversine_km(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx")), 6).alias("weight"))
 
 
+def near_pairs(nodes: DataFrame, key: str, km: float) -> DataFrame:
+    """Those of ``all_pairs`` with a weight up to ``km``."""
+    p = J.within_km(nodes.select(key, "lon", "lat"), nodes.select(key, "lon", "lat"), km + 1e-6, key, key).where(F.col(f"l_{key}") < F.col(f"r_{key}"))
+    return p.select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"), F.round("km", 6).alias("weight")).where(F.col("weight") <= km)
+
+
+def spanning_tree(nodes: DataFrame, key: str, km: float = 8.0) -> DataFrame:
+    """(a, b, weight): the least spanning tree of ``all_pairs`` of stations (key, lon, lat), without all pairs.
+
+    The tree's edges up to a weight are the forest of all pairs up to it. So a reach that starts at ``km`` grows fourfold until
+    one part is left, and each time only pairs across the parts before are new. One end of such a pair lies outside
+    the largest part, so they are searched from there alone.
+    """
+    points = checkpointed(nodes.select(F.col(key).cast("long").alias("node"), "lon", "lat"))
+    ids, n = points.select("node"), points.count()
+    tree = spanning_forest(ids, near_pairs(points, "node", km))
+    while n - tree.count() > 1 and km < 20_100:
+        km *= 4
+        at = checkpointed(points.join(components(ids, tree), "node"))
+        largest = at.groupBy("component").count().orderBy(F.desc("count"), "component").first()["component"]
+        p = J.within_km(at.where(F.col("component") != largest), at, km + 1e-6, "node", "node").where("l_component <> r_component")
+        p = p.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"), F.round("km", 6).alias("weight")).where(F.col("weight") <= km)
+        tree = spanning_forest(ids, tree.unionByName(p))
+    return tree
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 

@@ -140,17 +140,16 @@ def trunk_of(a_stations: DataFrame, mode: str = "mst", extra: int = EXTRA, most_
     """(a, b, weight, extra) over A stations (a, lon, lat): the least spanning tree of all pairs, or the two nearest each with
     the parts then joined by their shortest pairs; and the shortest missing links up to ``most_km``, at most ``extra`` a station."""
     nodes = checkpointed(a_stations)
-    pairs = checkpointed(N.all_pairs(nodes, "a"))
-    ids = nodes.select(F.col("a").alias("node"))
     if mode == "mst":
-        base = N.spanning_forest(ids, pairs)
+        base = N.spanning_tree(nodes, "a")
     elif mode == "knn":
+        ids, pairs = nodes.select(F.col("a").alias("node")), checkpointed(N.all_pairs(nodes, "a"))
         near = J.nearest(nodes, nodes.withColumnRenamed("a", "other"), "a", "other", 2, most_km, same=True)
         knn = near.select(F.least("a", "other").alias("a"), F.greatest("a", "other").alias("b"), F.round("km", 6).alias("weight")).distinct()
         base = checkpointed(knn.unionByName(N.repairs(ids, knn, pairs)))
     else:
         raise ValueError(f"unknown topology {mode}")
-    more = R.matching(pairs.where(F.col("weight") <= most_km).join(base, ["a", "b"], "left_anti"), extra) if extra else pairs.limit(0)
+    more = R.matching(N.near_pairs(nodes, "a", most_km).join(base, ["a", "b"], "left_anti"), extra) if extra else base.limit(0)
     return base.select("a", "b", "weight", F.lit(False).alias("extra")).union(more.select("a", "b", "weight", F.lit(True)))
 
 
