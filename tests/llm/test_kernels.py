@@ -328,6 +328,47 @@ def test_a_text_that_repeats_itself_lies_on_few_diagonals():
         assert covered >= set(range(n, n + 8100))
 
 
+def test_related_occurrences_like_brute_force(monkeypatch):
+    """All pairs of a seed's places that lie in a passage on their diagonal are linked, up to one that is alike, and few others."""
+    monkeypatch.setattr(substrings, "_PAIRS", 500)
+    rng = random.Random(21)
+    line, around, rows, texts = _some_words(rng, 8), _some_words(rng, 96), [], {}
+    for doc in range(260):
+        share = rng.choice([0, 0, 0.2, 0.5, 0.6, 0.7, 0.8, 1])
+        before, after = rng.choice([48, 48, 60, 20, 0]), rng.choice([48, 48, 70, 30])
+        near = [x if rng.random() < share else f"d{doc}-{i}" for i, x in enumerate(around)]
+        w = _some_words(rng, max(0, before - 48)) + near[48 - min(48, before) : 48] + line + near[48 : 48 + min(48, after)] + _some_words(rng, max(0, after - 48))
+        texts[doc] = (w, before)
+        own = next(words(pa.array([" ".join(w)]), word_bytes=None))[2].hash
+        rows.append((np.array([7]), np.array([doc]), np.array([-1 - before if doc % 9 == 5 else before]), *substrings.contexts(own, np.array([before]))))
+    parts = list(substrings.related(*(np.concatenate(x) for x in zip(*rows))))
+    got = {(int(d), int(s)) for p in parts for d, s in zip(p[0], p[1])}
+    assert all(texts[d][1] == a and texts[s][1] == b for p in parts for d, s, a, b in zip(*(x.tolist() for x in p)))
+    shown = {d: tuple(w[max(0, a - 48) : a + 56]) for d, (w, a) in texts.items()}
+    ends = {}
+    for d in texts:
+        ends.setdefault((shown[d], min(texts[d][1], 48)), d)
+    first, alike, held = set(ends.values()), 0, 0  # others have the same words around
+    for d, (w, a) in texts.items():
+        room = min(48, a) + min(48, len(w) - a - 8)
+        for s in sorted(first):
+            if s >= d or d % 9 == 5 or d not in first:
+                break
+            v, b = texts[s]
+            back, on = min(a, b, 48), min(len(w) - a, len(v) - b, 56)
+            same = sum(x == y for x, y in zip(w[a - back : a + on], v[b - back : b + on])) - 8
+            left, right = (np.concatenate(([0], np.cumsum([x == y for x, y in zip(p, q)]))) for p, q in ((w[a - back : a][::-1], v[b - back : b][::-1]), (w[a + 8 : a + on], v[b + 8 : b + on])))
+            whole = any(x + y >= 42 and left[x] + right[y] + 8 >= 0.8 * (x + y + 8) for x in range(len(left)) for y in range(len(right)))
+            held += whole
+            assert (d, s) in got or not whole
+            assert (d, s) not in got or same >= 17
+            if same >= 0.72 * room:  # alike, or almost: four bits can be the same by chance
+                alike += 1
+                assert same < 0.84 * room or all((d, t) not in got for t in range(s + 1, d))
+                break
+    assert alike > 20 and held > 50 and {d for d, _ in got} <= {d for d in first if d % 9 != 5}
+
+
 def test_two_passages_in_one_chain():
     rng = random.Random(4)
     one, two = _some_words(rng, 52), _some_words(rng, 52)

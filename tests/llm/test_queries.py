@@ -270,6 +270,23 @@ def test_repeated_passages(spark):
     assert rows[3, 1].n_words == 70 and 0.95 < rows[3, 1].identity < 0.96
 
 
+def test_changed_passage_whose_seeds_other_documents_have(spark):
+    """Neither the first nor the next smaller document with a seed is the source, but one between, of many."""
+    rng = random.Random(37)
+    passage = _words(60, rng)
+    changed = ["changed" if i % 10 == 9 else x for i, x in enumerate(passage)]
+    parts = [passage[i : i + 9] for i in range(0, 60, 10)][::-1]
+    docs = [(i, [x for part in parts for x in _words(50, rng) + part]) for i in (1, 2, 3, 5, 6, 8)] + [(4, _words(30, rng) + passage + _words(20, rng)), (7, _words(12, rng) + changed + _words(40, rng))]
+    docs += [(9, _words(9, rng) + changed[:30] + _words(200, rng) + passage), (10, parts[2] + _words(3, rng))]
+    rows = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs] + ODD, DOC)).collect()
+    assert {(r.doc_id, r.source_id, r.start, r.end, r.source_start, r.source_end) for r in rows} == {(7, 4, 12, 71, 30, 89), (9, 4, 239, 299, 30, 90)}
+    # the second of two places of a line goes with the first
+    line, around = _words(9, rng), _words(60, rng)
+    texts = [(1, around[:25] + line + around[25:] + _words(70, rng) + line + _words(5, rng)), (2, _words(70, rng) + line + _words(70, rng) + ["x" if i % 8 == 5 else w for i, w in enumerate(around[:25])] + line + ["x" if i % 8 == 5 else w for i, w in enumerate(around[25:])])]
+    rows = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts], DOC)).collect()
+    assert len(rows) == 1 and rows[0].start >= 149 and rows[0].source_start <= 5 and rows[0].n_words >= 60
+
+
 def _runs(text, n=50):
     w = [x.lower() for x in re.findall(rb"[0-9a-zA-Z\x80-\xff]+", text.encode())]
     return [(a, hash(tuple(w[a : a + n]))) for a in range(len(w) - n + 1)]
