@@ -335,6 +335,24 @@ def test_routes_over_the_pole_meet_obstacles(spark):
     assert {r.status for r in got} <= {"boundary", "lattice"}
 
 
+def test_modes_search_each_route_once(spark, tmp_path, monkeypatch):
+    rings = spark.createDataFrame([(1, [(0.01, -0.01), (0.02, -0.01), (0.02, 0.01), (0.01, 0.01)])], "ring_id long, ring array<struct<x:double,y:double>>")
+    rows = [(1, 0.0, 0.0, 0.03, 0.0), (2, 0.0, 0.001, 0.03, 0.001), (3, 0.015, 0.0, 0.03, 0.0)]  # the last starts in the ring
+    req = spark.createDataFrame(rows, "edge long, ax double, ay double, bx double, by double")
+    walls = spark.createDataFrame([], "zone_id long, part_id int, ring_id int, seq int, x1 double, y1 double, x2 double, y2 double")
+    search, log = Z.route, str(tmp_path / "searched")
+
+    def logged(obstacles, a, b, lattice=True):
+        with open(log, "a") as f:
+            f.write(f"{a} {b}\n")
+        return search(obstacles, a, b, lattice)
+
+    monkeypatch.setattr(Z, "route", logged)
+    got = {r.edge: r["mode"] for r in Z.with_modes(req, rings, rings.limit(0), "edge", walls, walls).collect()}
+    assert got == {1: "routed", 2: "routed", 3: "routed"}
+    assert len(open(log).readlines()) == len(rows)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_many_greedy_picks(spark, seed):
     rng = random.Random(seed)

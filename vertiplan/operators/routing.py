@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from vertiplan.functions.geo import METRES_PER_DEGREE, haversine_km
 from vertiplan.operators import spatial as J
 from vertiplan.operators.regions import without_loops
+from vertiplan.session import checkpointed
 
 # Corner-cutting settings (share of an edge, rounds) in order of strength, and the gentle ones tried last.
 SMOOTHING = ((0.14, 1), (0.18, 1), (0.22, 2), (0.26, 1), (0.30, 1), (0.32, 2), (0.36, 2), (0.40, 2), (0.25, 3), (0.25, 4), (0.22, 3), (0.20, 2))
@@ -332,7 +333,7 @@ def routed(requests: DataFrame, rings: DataFrame, key: str, lattice: bool = True
     """requests (key, ax, ay, bx, by, ...), rings (ring_id, ring array<struct<x,y>>) -> (key, status, path, km): the safe
     route of each request around the rings near it. Only rows with a ring near their line reach the kernel. Null or
     missing coordinates have the status ``missing``; repeated requests are each routed."""
-    near = _near(requests.select(key, "ax", "ay", "bx", "by").where("ax is not null and ay is not null and bx is not null and by is not null"), rings, key, reach, cell)
+    near = checkpointed(_near(requests.select(key, "ax", "ay", "bx", "by").where("ax is not null and ay is not null and bx is not null and by is not null"), rings, key, reach, cell))
     every = requests.select(key, "ax", "ay", "bx", "by").join(near, key, "left")
     straight = F.array(F.struct(F.col("ax").alias("lon"), F.col("ay").alias("lat")), F.struct(F.col("bx").alias("lon"), F.col("by").alias("lat")))
     known = F.col("ax").isNotNull() & F.col("ay").isNotNull() & F.col("bx").isNotNull() & F.col("by").isNotNull()
@@ -384,8 +385,9 @@ def clear_routes(routes: DataFrame, edges: DataFrame, key: str, zone: str) -> Da
 def with_modes(requests: DataFrame, strict: DataFrame, loose: DataFrame, key: str, buffered: DataFrame, core: DataFrame) -> DataFrame:
     """(key, mode, path, km): every request gets a line. ``routed`` around all rings, else around the loose ones, else
     straight: clear of the unbuffered polygons, clear of the core ones, or forced. buffered, core: polygon edges (zone_id)."""
-    s = routed(requests, strict, key).select(key, F.col("path").alias("p1"), F.col("km").alias("k1"))
-    still = requests.join(s.where("p1 is null").select(key), key, "left_semi")
+    # what follows reads them several times, and each time would search every route anew
+    s = checkpointed(routed(requests, strict, key).select(key, F.col("path").alias("p1"), F.col("km").alias("k1")))
+    still = checkpointed(requests.join(s.where("p1 is null").select(key), key, "left_semi"))
     r = routed(still, loose, key).select(key, F.col("path").alias("p2"), F.col("km").alias("k2"))
     straight = F.array(F.struct(F.col("ax").alias("lon"), F.col("ay").alias("lat")), F.struct(F.col("bx").alias("lon"), F.col("by").alias("lat")))
     out = requests.select(key, "ax", "ay", "bx", "by").join(s, key, "left").join(r, key, "left")

@@ -113,9 +113,10 @@ def forced_stations(centres: DataFrame, regions: DataFrame, candidates: DataFram
         best = F.min(F.struct(km.alias("km"), F.col(key).alias("id"), "lon", "lat"))
         return rows.join(own, "cluster").groupBy("cluster").agg(best.alias(as_))
 
-    roof = nearest(candidates.join(hulls, "candidate"), "candidate", "roof")
-    inner = nearest(members, "building_id", "inner")
-    bare = own.join(roof, "cluster", "left_anti").join(inner, "cluster", "left_anti").select("cluster", F.col("cx").alias("lon"), F.col("cy").alias("lat"))
+    # the search for the nearest rooftop of all reads these in every round
+    roof = checkpointed(nearest(candidates.join(hulls, "candidate"), "candidate", "roof"))
+    inner = checkpointed(nearest(members, "building_id", "inner"))
+    bare = checkpointed(own.join(roof, "cluster", "left_anti").join(inner, "cluster", "left_anti").select("cluster", F.col("cx").alias("lon"), F.col("cy").alias("lat")))
     far = J.nearest(bare, candidates, "cluster", "candidate").select("cluster", "candidate").join(candidates, "candidate").select("cluster", F.struct(F.lit(0.0).alias("km"), F.col("candidate").alias("id"), "lon", "lat").alias("far"))
     out = own.select("cluster", "region").join(main, "cluster", "left").join(roof, "cluster", "left").join(inner, "cluster", "left").join(far, "cluster", "left")
     place = F.coalesce("roof", "inner", "far")
@@ -188,8 +189,8 @@ def _make_trunk_lines(spark, d):
     """Every trunk edge with its mode and length: around all zones, else around those never flown over, else straight."""
     z, core = _walls(spark, d)
     s = charge_stations(spark, d).select("cluster", "lon", "lat")
-    e = with_places(trunk_edges(spark, d), s, "cluster").withColumn("edge", F.col("a") * 1_000_000 + F.col("b"))
-    lines = Z.with_modes(checkpointed(e.select("edge", "ax", "ay", "bx", "by")), Z.boxes_as_rings(z, "zone_id"), Z.boxes_as_rings(core, "zone_id"), "edge", S.rings(z, "zone_id"), S.rings(core, "zone_id"))
+    e = checkpointed(with_places(trunk_edges(spark, d), s, "cluster").withColumn("edge", F.col("a") * 1_000_000 + F.col("b")))
+    lines = Z.with_modes(e.select("edge", "ax", "ay", "bx", "by"), Z.boxes_as_rings(z, "zone_id"), Z.boxes_as_rings(core, "zone_id"), "edge", S.rings(z, "zone_id"), S.rings(core, "zone_id"))
     return e.select("edge", "a", "b", "extra").join(lines, "edge")
 
 
