@@ -369,6 +369,25 @@ def test_related_occurrences_like_brute_force(monkeypatch):
     assert alike > 20 and held > 50 and {d for d, _ in got} <= {d for d in first if d % 9 != 5}
 
 
+def test_a_text_of_many_pairs_is_split_into_words_once(monkeypatch):
+    seen, split = [], substrings.words
+    monkeypatch.setattr(substrings, "words", lambda column, **k: seen.extend(column.to_pylist()) or split(column, **k))
+    texts = [" ".join(f"w{i}" for i in range(a, a + 300)) for a in (0, 1000)]
+    rows = [(1, 0, [[60, 0, 50]], texts[0]), (1, 5, [[100, 7, 50], [220, 9, 8]], texts[0]), (2, 0, [[0, 0, 50]], texts[1])]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["doc_id", "source_id", "segments", "text"])
+    (out,) = substrings._sliced(0, "left")([batch])
+    assert seen == texts and out.column("doc_id").to_pylist() == [1, 1, 2]
+    assert [len(x) // 8 for x in out.column("left").to_pylist()] == [158 - 12, 276 - 52, 98]
+
+
+def test_hashes_are_packed_by_themselves():
+    seeds = np.random.default_rng(1).integers(0, 1 << 48, 4000)
+    assert len(substrings._packed(seeds, plain=True)) == 6 * len(seeds)
+    assert (substrings._unpacked(substrings._packed(seeds, plain=True), len(seeds), plain=True) == seeds).all()
+    parts = substrings._parcels(seeds, np.array([0, 7, 4000]), False)
+    assert (np.concatenate([substrings._unpacked(parts[0], 7), substrings._unpacked(parts[1], 3993)]) == seeds).all()
+
+
 def test_two_passages_in_one_chain():
     rng = random.Random(4)
     one, two = _some_words(rng, 52), _some_words(rng, 52)
