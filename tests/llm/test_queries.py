@@ -309,6 +309,16 @@ def test_repeated_passages_like_brute_force(spark):
     assert shared
 
 
+def test_part_of_a_kept_table_is_dropped(spark):
+    from vertiplan.llm import _store
+
+    kept = _store.keep(spark.range(6).withColumn("rest", F.col("id") % 2 == 0), "parts", "rest")
+    _store.drop(kept, part="rest=true")
+    assert sorted(r.id for r in kept.where("not rest").collect()) == [1, 3, 5]
+    assert spark.read.parquet(kept.kept_path).count() == 3
+    _store.drop(kept)
+
+
 def test_passages_over_many_buckets(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     few = sorted(map(tuple, substrings.repeated_passages(docs).collect()))
