@@ -1,6 +1,7 @@
 """Kernels against brute force, without Spark."""
 
 import base64
+import difflib
 import itertools
 import json
 import math
@@ -388,6 +389,91 @@ def test_hashes_are_packed_by_themselves():
     assert (np.concatenate([substrings._unpacked(parts[0], 7), substrings._unpacked(parts[1], 3993)]) == seeds).all()
 
 
+def test_a_parcel_holds_its_first_number_apart():
+    ids = np.arange(250_000, 254_000)
+    assert len(substrings._packed(ids)) == 8 + len(ids)
+    rng = np.random.default_rng(2)
+    for top in (0, 3, 28, 29, 30, 47, 62):
+        n = rng.integers(1, 60, 20)
+        cut = np.concatenate(([0], np.cumsum(n)))
+        for x, plain in ((rng.integers(-(1 << top), 1 << top, cut[-1]), False), (rng.integers(0, 1 << top, cut[-1]) * (np.arange(cut[-1]) > 300), True)):
+            assert (substrings._column(substrings._parcels(x, cut, plain), n, plain) == x).all()
+            parts = [substrings._packed(x[i:j], plain) for i, j in zip(cut, cut[1:])]
+            assert (substrings._column(parts, n, plain) == x).all()
+
+
+def test_order_is_that_of_lexsort():
+    rng = np.random.default_rng(3)
+    for top in (1, 5, 40, 62):
+        keys = [rng.integers(-(1 << top), 1 << top, 500), rng.integers(0, 9, 500), rng.integers(-3, 3, 500)]
+        x, y = substrings._order(*keys), np.lexsort(keys)
+        assert sorted(x.tolist()) == list(range(500)) and all((k[x] == k[y]).all() for k in keys)
+    assert not len(substrings._order(np.zeros(0, np.int64)))
+
+
+def test_few_segments_are_chained_as_by_the_tree(monkeypatch):
+    rng = random.Random(6)
+    for n in list(range(2, 33)) * 6:
+        seg = np.array([[rng.randrange(0, 12 * n), rng.randrange(0, 12 * n), rng.choice([8, 8, 9, 12, 30])] for _ in range(n)])
+        few = substrings.chains(seg)
+        with monkeypatch.context() as m:
+            m.setattr(substrings, "_FEW", 0)
+            assert substrings.chains(seg) == few
+
+
+def test_matching_words_in_gaps_are_those_of_difflib():
+    rng = random.Random(7)
+    for _ in range(400):
+        x, y = ([rng.randrange(rng.choice([3, 12, 60])) for _ in range(rng.randrange(40))] for _ in range(2))
+        assert substrings._matching(x, y) == sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+
+
+def test_contexts_do_not_reach_into_the_next_text():
+    rng = random.Random(9)
+    line = _some_words(rng, 8)
+    texts = [_some_words(rng, n) + line + _some_words(rng, m) for n, m in ((0, 0), (3, 0), (60, 2), (0, 70), (48, 48))]
+    rows = [(i, " ".join(w), np.array([5, 6], np.int64).tobytes(), np.array([w.index(line[0]), -1 - w.index(line[0])], np.int64).tobytes()) for i, w in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["doc_id", "text", "seeds", "places"])
+    together = [np.concatenate(c).tolist() for c in zip(*substrings._contexts(11)([batch]))]
+    alone = [np.concatenate(c).tolist() for c in zip(*(p for i in range(len(rows)) for p in substrings._contexts(11)([batch.slice(i, 1)])))]
+    assert together == alone
+    for i, w in enumerate(texts):
+        own = next(words(pa.array([" ".join(w)]), word_bytes=toxicity._WORD))[2].hash
+        assert [c[2 * i] for c in together[4:]] == [int(c[0]) for c in substrings.contexts(own, np.array([w.index(line[0])]))]
+
+
+def test_merged_spans_are_the_parts_of_each_pair():
+    rng = random.Random(10)
+    pairs = [[[rng.randrange(900), rng.randrange(900), rng.choice([8, 50])] for _ in range(rng.randint(1, 6))] for _ in range(80)]
+    seg, begins, own = substrings._flat(pa.array(pairs, pa.list_(pa.list_(pa.int32()))).slice(1))
+    pairs = pairs[1:]
+    for side in (0, 1):
+        lo, hi = substrings._spans(seg, begins, side)
+        pair, left, right, at = substrings._merged(np.repeat(np.arange(len(own) - 1), np.diff(own)), lo, hi)
+        for i, found in enumerate(pairs):
+            assert substrings._parts(found, side) == [(int(a), int(b)) for p, a, b in zip(pair, left, right) if p == i]
+            text = np.arange(2000, dtype=np.uint64)
+            data = b"".join(text[a:b].tobytes() for a, b in substrings._parts(found, side))
+            assert [int(x[0]) for x in substrings._spanned(found, side, data)] == [int(np.frombuffer(data, np.uint64)[x]) for x in at[own[i] : own[i + 1]]]
+
+
+def test_chains_with_too_few_equal_words_are_told_at_once(monkeypatch):
+    """Only chains that can be passages are aligned one by one."""
+    rng = random.Random(11)
+    line, passage = _some_words(rng, 8), _some_words(rng, 60)
+    left = [_some_words(rng, 50) + line + _some_words(rng, 50) + passage for _ in range(30)]
+    right = _some_words(rng, 70) + line + _some_words(rng, 80) + passage
+    own = [next(words(pa.array([" ".join(w)]), word_bytes=toxicity._WORD))[2].hash for w in left]
+    chain = [[[50, 70, 8], [108, 158, 60]] if i == 7 else [[50, 70, 8]] for i in range(30)]
+    rows = [(100 + i, 1, c, b"".join(h[a:b].tobytes() for a, b in substrings._parts(c, 0)), " ".join(right)) for i, (c, h) in enumerate(zip(chain, own))]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["doc_id", "source_id", "segments", "left", "text"])
+    seen, align = [], substrings.align
+    monkeypatch.setattr(substrings, "align", lambda c, *x: seen.append(c.tolist()) or align(c, *x))
+    (out,) = substrings._aligned([batch])
+    assert [tuple(r.values()) for r in out.to_pylist()] == [(107, 1, 108, 168, 158, 218, 60, 1.0)]
+    assert seen == [[[108, 158, 60]]]
+
+
 def test_two_passages_in_one_chain():
     rng = random.Random(4)
     one, two = _some_words(rng, 52), _some_words(rng, 52)
