@@ -327,6 +327,20 @@ def test_complete_graph_of_many_stations(spark):
     assert N.all_pairs(s, "id").count() == 3100 * 3099 // 2
 
 
+def test_pairs_meet_without_a_broadcast(spark, tmp_path):
+    rng = random.Random(6)
+    at = {3 * i: (rng.uniform(-180, 180), rng.uniform(-89, 89)) for i in range(700)}  # three blocks
+    spark.createDataFrame([(i, *p) for i, p in at.items()] + [(None, 37.0, 55.0)], "id long, lon double, lat double").write.parquet(f"{tmp_path}/stations")
+    pairs = N.all_pairs(spark.read.parquet(f"{tmp_path}/stations"), "id")
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()  # n * n / 256 rows were
+    got = {(r.a, r.b): r.weight for r in pairs.collect()}
+    assert pairs.count() == len(got) and set(got) == set(itertools.combinations(at, 2))
+    for (a, b), km in got.items():
+        (ax, ay), (bx, by) = at[a], at[b]
+        h = math.sin(math.radians(by - ay) / 2) ** 2 + math.cos(math.radians(ay)) * math.cos(math.radians(by)) * math.sin(math.radians(bx - ax) / 2) ** 2
+        assert abs(km - 12742 * math.asin(math.sqrt(min(1, h)))) < 6e-7 and km == round(km, 6)
+
+
 def test_a_tight_assignment_of_a_city_in_seconds():
     import time
 

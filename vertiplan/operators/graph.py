@@ -133,13 +133,22 @@ def dbscan(points: DataFrame, eps_m: float, least: int, latitude: float) -> Data
 
 
 def all_pairs(nodes: DataFrame, key: str) -> DataFrame:
-    """(a, b, weight) of all pairs of the stations (key, lon, lat) of one city. The pairs are the result; both ends are
-    dealt to blocks, which meet in a join."""
+    """(a, b, weight) of all pairs of the stations (key, lon, lat) of one city. The pairs are the result.
+
+    A block holds about 256 stations as one row. Every two blocks meet in a join, whose rows are opened into pairs where they
+    are. The join is a merge, since copies of blocks look small to the optimizer, which would broadcast them; its tasks
+    are as many as give each some 4 million pairs.
+    """
     k = max(1, -(-nodes.count() // 256))
-    rows = nodes.select(F.col(key).alias("id"), "lon", "lat").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    a = rows.select(F.col("id").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("own").alias("i"), F.col("other").alias("j"))
-    b = rows.select(F.col("id").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"), F.col("other").alias("i"), F.col("own").alias("j"))
-    return a.join(b, ["i", "j"]).where("a < b").select("a", "b", F.round(haversine_km(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx")), 6).alias("weight"))
+    own = nodes.where(F.col(key).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(k)).cast("int").alias("own"), F.struct(F.col(key).alias("id"), "lon", "lat").alias("s"))
+    blocks = own.repartition(k, "own").groupBy("own").agg(F.collect_list("s").alias("s"))
+    tasks = -(-k * (k + 1) // 128)
+    a = blocks.select(F.col("own").alias("i"), F.explode(F.sequence("own", F.lit(k - 1))).alias("j"), F.col("s").alias("p")).repartition(tasks, "i", "j")
+    b = blocks.select(F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("s").alias("q")).repartition(tasks, "i", "j")
+    met = a.join(b.hint("merge"), ["i", "j"]).selectExpr("i", "j", "q", "inline(p) as (x, ax, ay)").selectExpr("i", "j", "x", "ax", "ay", "inline(q) as (y, bx, by)").where("i < j or x < y")
+    km = haversine_km(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx"))
+    # not round(): it goes over decimals, which takes as long as all the rest
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.floor(km * 1e6 + 0.5) / 1e6).alias("weight"))
 
 
 def near_pairs(nodes: DataFrame, key: str, km: float) -> DataFrame:
