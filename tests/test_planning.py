@@ -280,6 +280,18 @@ def test_exact_sums(spark):
     assert got == {54.4} and len(set(itertools.accumulate(rows)) & {54.4}) == 0
 
 
+@pytest.mark.parametrize(("first", "n"), [(1121, 3), (3753, 3), (3384, 4)])
+def test_halves_as_doubles_add_up_by_building(spark, tmp_path, first, n):
+    # whole cents that make a half, while the doubles in order of buildings pass it or stay below
+    con = duckdb.connect()
+    con.execute("create table supplier as select cast(0 as bigint) as s_suppkey")
+    con.execute(f"create table orders as select range as o_orderkey from range({first}, {first + n})")
+    spark.range(1).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(first + n - 1, first - 1, -1, n).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.queries()["subcluster_rows"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == con.execute(queries.oracle_sql()["subcluster_rows"]).fetchall()
+
+
 def test_faces_of_points_on_circles():
     rng = random.Random(5)
     # a lattice has four points on most circles; all pairs of such a four are neighbours
