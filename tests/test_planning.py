@@ -341,7 +341,7 @@ def test_complete_graph_of_many_stations(spark):
 
 def test_pairs_meet_without_a_broadcast(spark, tmp_path):
     rng = random.Random(6)
-    at = {3 * i: (rng.uniform(-180, 180), rng.uniform(-89, 89)) for i in range(700)}  # three blocks
+    at = {3 * i: (rng.uniform(-180, 180), rng.uniform(-89, 89)) for i in range(700)}
     spark.createDataFrame([(i, *p) for i, p in at.items()] + [(None, 37.0, 55.0)], "id long, lon double, lat double").write.parquet(f"{tmp_path}/stations")
     pairs = N.all_pairs(spark.read.parquet(f"{tmp_path}/stations"), "id")
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()  # n * n / 256 rows were

@@ -135,14 +135,15 @@ def dbscan(points: DataFrame, eps_m: float, least: int, latitude: float) -> Data
 def all_pairs(nodes: DataFrame, key: str) -> DataFrame:
     """(a, b, weight) of all pairs of the stations (key, lon, lat) of one city. The pairs are the result.
 
-    A block holds about 256 stations as one row. Every two blocks meet in a join, whose rows are opened into pairs where they
-    are. The join is a merge, since copies of blocks look small to the optimizer, which would broadcast them; its tasks
-    are as many as give each some 4 million pairs.
+    A block holds about 256 stations as one row, fewer where these make less than 64 blocks. Every two blocks meet in a join, whose
+    rows are opened into pairs where they are. The join is a merge, since copies of blocks look small to the optimizer, which
+    would broadcast them; its tasks are as many as give each some 4 million pairs.
     """
-    k = max(1, -(-nodes.count() // 256))
+    n = nodes.count()
+    k = max(1, min(n, 64), -(-n // 256))
     own = nodes.where(F.col(key).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(k)).cast("int").alias("own"), F.struct(F.col(key).alias("id"), "lon", "lat").alias("s"))
     blocks = own.repartition(k, "own").groupBy("own").agg(F.collect_list("s").alias("s"))
-    tasks = -(-k * (k + 1) // 128)
+    tasks = max(1, -(-n * n // 8_000_000))
     a = blocks.select(F.col("own").alias("i"), F.explode(F.sequence("own", F.lit(k - 1))).alias("j"), F.col("s").alias("p")).repartition(tasks, "i", "j")
     b = blocks.select(F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("s").alias("q")).repartition(tasks, "i", "j")
     met = a.join(b.hint("merge"), ["i", "j"]).selectExpr("i", "j", "q", "inline(p) as (x, ax, ay)").selectExpr("i", "j", "x", "ax", "ay", "inline(q) as (y, bx, by)").where("i < j or x < y")
